@@ -28,3 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
 def held_out(id_col: str, modulus: int, remainder: int) -> F.Column:
     """True where crc32 of the id's decimal text falls in the held-out remainder."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most `rows` labelled texts, picked by a hash of their id: columns text, label.
+
+    `labels` has id_col and label; null labels and ids are left out.  The picked
+    labels are at most `rows`, so they are broadcast and the texts aren't moved.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).select(F.col(id_col).alias("__id"), "label")
+    picked = known.orderBy(F.xxhash64("__id", F.lit(7)), "__id", "label").limit(rows)
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return cut(texts.join(F.broadcast(picked), "__id").select("text", "label"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, sp_codec
+from . import exact_dedup, langid, packing, quality, sharding, sp_codec, toxicity
 from .common import held_out, table
 
 SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(24)], 2503
@@ -32,7 +32,33 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing)}
+def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(~held_out("doc_id", modulus, remainder)).select("doc_id", F.col(label).alias("label"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 3, 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("label"))
+    return langid.predict(docs, langid.fit(docs, known)).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _labels(spark, sf_dir, "quality", 5, 0))
+    return quality.score(docs, model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op7_toxicity, op8_langid, op10_quality)}
 
 #: The table is filled turn by turn: each turn's shard takes the first free slot of its order.
 _FILL = """
