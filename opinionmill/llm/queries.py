@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, sharding, sp_codec, toxicity
+from . import exact_dedup, langid, ngram_join, packing, quality, sharding, sp_codec, toxicity
 from .common import held_out, table
 
 SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(24)], 2503
@@ -32,6 +32,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(90, 100))
+
+
 def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int) -> DataFrame:
     return table(spark, sf_dir, "labels").where(~held_out("doc_id", modulus, remainder)).select("doc_id", F.col(label).alias("label"))
 
@@ -58,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op7_toxicity, op8_langid, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op7_toxicity, op8_langid, op10_quality)}
 
 #: The table is filled turn by turn: each turn's shard takes the first free slot of its order.
 _FILL = """
