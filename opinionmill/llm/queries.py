@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, ngram_join, packing, quality, sharding, sp_codec, toxicity
+from . import embed_dedup, exact_dedup, langid, ngram_join, packing, quality, sharding, sp_codec, toxicity
 from .common import held_out, table
 
 SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(24)], 2503
@@ -54,6 +54,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, known)).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, _labels(spark, sf_dir, "quality", 5, 0))
@@ -62,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op7_toxicity, op8_langid, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op7_toxicity, op8_langid, op9_embedding_dedup, op10_quality)}
 
 #: The table is filled turn by turn: each turn's shard takes the first free slot of its order.
 _FILL = """
