@@ -132,21 +132,37 @@ def fit(
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
+def scores(column: pa.Array, weights: np.ndarray, intercept: float) -> np.ndarray:
+    """Scores of an Arrow column of texts."""
+    out = np.full(len(column), intercept)
+    for first, stop, data, offsets in slices(column):
+        at, buckets = _ngrams(data, offsets)
+        n = stop - first
+        total = np.bincount(at, minlength=n)
+        out[first:stop] += RATE * np.bincount(at, weights[buckets], minlength=n) / np.maximum(total, 1)
+    return sigmoid(out)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = shared.value
         for batch in batches:
-            out = np.full(len(batch), intercept)
-            for first, stop, data, offsets in slices(batch.column(1)):
-                at, buckets = _ngrams(data, offsets)
-                n = stop - first
-                total = np.bincount(at, minlength=n)
-                out[first:stop] += RATE * np.bincount(at, weights[buckets], minlength=n) / np.maximum(total, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(out))], names=["__id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), *shared.value))], names=["__id", "score"])
 
     kind = rows.schema["__id"].dataType.simpleString()
     return rows.mapInArrow(run, f"__id {kind}, score double").withColumnRenamed("__id", id_col)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at), *shared.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, langid, ngram_join, packing, quality, sharding, sp_codec, toxicity
+from . import embed_dedup, exact_dedup, langid, line_templates, ngram_join, packing, quality, sharding, sp_codec, toxicity
 from .common import held_out, table
 
 SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(24)], 2503
@@ -36,6 +36,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(90, 100))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int) -> DataFrame:
     return table(spark, sf_dir, "labels").where(~held_out("doc_id", modulus, remainder)).select("doc_id", F.col(label).alias("label"))
 
@@ -66,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op7_toxicity, op8_langid, op9_embedding_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op6_line_dedup, op7_toxicity, op8_langid, op9_embedding_dedup, op10_quality)}
 
 #: The table is filled turn by turn: each turn's shard takes the first free slot of its order.
 _FILL = """
@@ -103,5 +108,30 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
 FROM t
+""",
+    "op6_line_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, t, unnest(range(len(ls))) AS line_no, unnest(ls) AS x FROM d),
+l AS (
+  SELECT doc_id, t, line_no, trim(regexp_replace(regexp_replace(x, '[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*', '<*>', 'g'), '[ \t\r\f\v]+', ' ', 'g')) AS line
+  FROM raw),
+k AS (SELECT *, string_split(line, ' ') AS ts, concat(len(string_split(line, ' ')), ' ', array_to_string(string_split(line, ' ')[1:3], ' ')) AS leaf FROM l WHERE line <> ''),
+c AS (SELECT leaf, line, any_value(ts) AS ts, count(DISTINCT doc_id) AS docs FROM k GROUP BY leaf, line),
+tok AS (SELECT leaf, docs, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM c),
+w AS (SELECT leaf, pos, token, sum(docs) AS w FROM tok GROUP BY ALL),
+u AS (SELECT leaf, pos, arg_max(token, (w, token)) AS token FROM w GROUP BY ALL),
+seed AS (SELECT leaf, list(token ORDER BY pos) AS usual FROM u GROUP BY leaf),
+placed AS (
+  SELECT c.leaf, c.line,
+         CASE WHEN len(list_filter(range(1, len(ts) + 1), lambda i: ts[i] = usual[i])) * 100 >= len(ts) * 60 THEN '' ELSE c.line END AS template
+  FROM c JOIN seed USING (leaf)),
+found AS (
+  SELECT leaf, template FROM k JOIN placed USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
+gone AS (
+  SELECT DISTINCT doc_id, t, line_no FROM k JOIN placed USING (leaf, line) JOIN found USING (leaf, template)),
+kept AS (
+  SELECT raw.doc_id, raw.t, count(gone.line_no) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY raw.line_no) FILTER (WHERE gone.line_no IS NULL), '') AS text
+  FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.t = raw.t AND gone.line_no = raw.line_no GROUP BY raw.doc_id, raw.t)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, n_dropped, sha256(text) AS text_sha256 FROM d JOIN kept USING (doc_id, t)
 """,
 }
