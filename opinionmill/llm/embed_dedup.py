@@ -38,8 +38,8 @@ from .components import components
 
 #: Sampled vectors for axes and boxes, dimensions of a block, vectors a box should hold, boxes of a block at most.
 SAMPLE, BLOCK_DIMS, BOX_ROWS, MAX_BOXES = 4096, 16, 8192, 1024
-#: Vectors in one part of a crowded box, vectors of one matrix product, distinct vector lengths at most.
-PART_ROWS, TILE, MAX_LENGTHS = 16_384, 1024, 64
+#: Vectors in one part of a crowded box, vectors of one matrix product, pairs verified at once, distinct vector lengths at most.
+PART_ROWS, TILE, PAIRS, MAX_LENGTHS = 16_384, 1024, 16_384, 64
 
 
 @dataclass
@@ -154,37 +154,39 @@ def _join(rows: DataFrame, layout: Layout, length: int, cosine: float) -> DataFr
         weight = np.array([r[1] for r in left] + ([] if own else [r[1] for r in right]), dtype=float)
         vectors = unit(np.array([r[2] for r in left] + ([] if own else [r[2] for r in right])))
         rotated = vectors @ at.axes
-        squares = np.stack([(rotated[:, a:b] ** 2).sum(axis=1) for a, b in at.blocks])
+        a, b = at.blocks[block]
+        # One product tells which pairs are near in this block: x.y - |x|^2/2 - |y|^2/2 is minus half their squared distance.
+        x = rotated[:, a:b]
+        half, one = -(x * x).sum(axis=1, keepdims=True) / 2, np.ones((len(ids), 1))
+        rows_, columns_ = np.hstack([x, half, one]).astype(np.float32), np.hstack([x, one, half]).astype(np.float32)
+        least = np.float32(-at.budgets[block] / 2 - 1e-5)
         linked, labels = np.zeros(len(ids)), np.arange(len(ids))
         n, start = len(left), 0 if own else len(left)
 
-        def near(k: int, i: slice, j: slice) -> np.ndarray:
-            a, b = at.blocks[k]
-            d = squares[k, i][:, None] + squares[k, j][None, :] - 2 * (rotated[i, a:b] @ rotated[j, a:b].T)
-            # Close to the budget the matrix product may round differently elsewhere: decided coordinate by coordinate.
-            for p, q in zip(*np.nonzero(np.abs(d - at.budgets[k]) < 1e-10)):
-                gap = rotated[i.start + p, a:b] - rotated[j.start + q, a:b]
-                d[p, q] = (gap * gap).sum()
-            return d <= at.budgets[k]
+        def verify(p: np.ndarray, q: np.ndarray) -> None:
+            """Single precision only proposes pairs; budgets and cosine are decided in double precision."""
+            gap = rotated[p] - rotated[q]
+            gap *= gap
+            near = [gap[:, c:d].sum(axis=1) <= budget for (c, d), budget in zip(at.blocks[: block + 1], at.budgets)]
+            hit = near[block] & ~np.any(near[:block], axis=0) if block else near[0]
+            p, q = p[hit], q[hit]
+            good = (vectors[p] * vectors[q]).sum(axis=1) >= cosine
+            p, q = p[good], q[good]
+            if len(p):
+                np.add.at(linked, p, weight[q])
+                np.add.at(linked, q, weight[p])
+                _merge(labels, p, q)
 
         for i0 in range(0, n, TILE):
             i = slice(i0, min(i0 + TILE, n))
             for j0 in range(i0 if own else start, len(ids), TILE):
-                j = slice(j0, min(j0 + TILE, len(ids)))
-                hit = near(block, i, j)
-                for k in range(block):
-                    if hit.any():
-                        hit &= ~near(k, i, j)
+                close = rows_[i] @ columns_[j0 : j0 + TILE].T >= least
+                p, q = np.divmod(np.flatnonzero(close), close.shape[1])
+                p, q = p + i0, q + j0
                 if own and i0 == j0:
-                    hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
-                if not hit.any():
-                    continue
-                hit &= vectors[i] @ vectors[j].T >= cosine
-                p, q = np.nonzero(hit)
-                if len(p):
-                    linked[i] += hit @ weight[j]
-                    linked[j] += hit.T @ weight[i]
-                    _merge(labels, p + i0, q + j0)
+                    p, q = p[p < q], q[p < q]
+                for k in range(0, len(p), PAIRS):
+                    verify(p[k : k + PAIRS], q[k : k + PAIRS])
         some = linked > 0
         return ids[some], linked[some].astype(np.int64), ids[labels[some]]
 
