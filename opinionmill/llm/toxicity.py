@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import labelled_sample
 from .linear import fit_logistic, sigmoid
 from .ngrams import byte_ngrams, fold, row_sums, windows
-from .textbatch import slices
+from .textbatch import buffers, slices
 
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Labelled rows that the classifier is fitted on, at most, and n-gram buckets that it weighs.
-TRAIN_ROWS, KEPT_BUCKETS = 12_000, 1 << 15
+TRAIN_ROWS, KEPT_BUCKETS = 6_000, 1 << 14
 
 
 @dataclass
@@ -65,39 +65,38 @@ def _presence(sample: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["bucket", "other", "toxic"])
 
     sums = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "bucket long, other long, toxic long")
-    found = sums.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
+    found = sums.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     out = np.zeros((2, (1 << BITS) + 1))
-    out[:, found["bucket"].to_numpy(dtype=np.int64)] = found[["other", "toxic"]].to_numpy(dtype=float).T
+    out[:, found["bucket"].to_numpy()] = found["other"].to_numpy(), found["toxic"].to_numpy()
     return out
 
 
 def _features(sample: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rates of the buckets with a scale, as rows, columns and values, and the labels; at most TRAIN_ROWS rows."""
-    kept = sample.sparkSession.sparkContext.broadcast(scale != 0)
+    """Rates of the buckets with a scale, as rows, columns among them and values, and the labels; at most TRAIN_ROWS rows."""
+    place = np.cumsum(scale != 0) - 1
+    place[scale == 0] = -1
+    kept = sample.sparkSession.sparkContext.broadcast(place.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = kept.value
+        place = kept.value
         for batch in batches:
             out = []
             for _, _, data, offsets in slices(batch.column(0)):
                 for k in range(len(offsets) - 1):
                     buckets = _buckets(data[offsets[k] : offsets[k + 1]])
-                    at, n = np.unique(buckets[keep[buckets]], return_counts=True)
-                    out.append((at.astype("<u4").tobytes(), (n / max(1, len(buckets))).astype("<f4").tobytes()))
+                    found = place[buckets]
+                    at, n = np.unique(found[found >= 0], return_counts=True)
+                    out.append((at.astype("<i4").tobytes(), (n / max(1, len(buckets))).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "at", "rate"]
             )
 
-    found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary").collect()
-    columns = [np.frombuffer(r["at"], dtype="<u4") for r in found]
-    rows = np.repeat(np.arange(len(found)), [len(c) for c in columns])
-    empty = [np.zeros(0, dtype=np.uint32)]
-    return (
-        rows,
-        np.concatenate(columns or empty).astype(np.int64),
-        np.concatenate([np.frombuffer(r["rate"], dtype="<f4") for r in found] or empty).astype(float),
-        np.array([float(r["label"] > 0) for r in found]),
-    )
+    found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary").toArrow()
+    at, rate = (pa.concat_arrays(found[c].chunks) if found.num_rows else pa.array([], pa.binary()) for c in ("at", "rate"))
+    ends = buffers(at)[1]
+    rows = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(ends) // 4)
+    columns, rates = (np.frombuffer(buffers(c)[0], dtype=kind)[: len(rows)] for c, kind in ((at, "<i4"), (rate, "<f4")))
+    return rows, columns, rates, (found["label"].to_numpy() > 0).astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, l2: float = 1e-3) -> Model:
@@ -119,8 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio[np.argsort(-evidence, kind="stable")[KEPT_BUCKETS:]] = 0
     rows, columns, rates, y = _features(sample, ratio)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    w, intercept = fit_logistic(rows, columns, rates * ratio[columns] * 100, y, balance, 1 << BITS, l2 / len(y))
-    return Model((w * ratio * 100).astype(np.float32), intercept)
+    used = np.flatnonzero(ratio)
+    values = rates * (100 * ratio[used]).astype(np.float32)[columns]
+    w, intercept = fit_logistic(rows, columns, values, y, balance, len(used), l2 / len(y))
+    weights[used] = w * ratio[used] * 100
+    return Model(weights.astype(np.float32), intercept)
 
 
 def scores(column: pa.Array, weights: np.ndarray, intercept: float) -> np.ndarray:
