@@ -34,7 +34,7 @@ from .textbatch import SPACE, slices
 
 BITS = 18
 #: Labelled rows that the classifier is fitted on, at most.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 #: Rates are this many times a token's share, so that one coordinate's step is of the order of one.
 RATE = 16.0
 
@@ -101,7 +101,7 @@ def _features(sample: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
     # Rows arrive in no fixed order, so they are put into the order of their content.
     found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary").collect()
     found = sorted(found, key=lambda r: (zlib.crc32(r["at"]), r["at"], r["label"]))
-    return [(float(r["label"] > 0), np.frombuffer(r["at"], dtype="<u4").astype(np.int64), np.frombuffer(r["rate"], dtype="<f4").astype(float)) for r in found]
+    return [(float(r["label"] > 0), np.frombuffer(r["at"], dtype="<u4"), np.frombuffer(r["rate"], dtype="<f4")) for r in found]
 
 
 def fit(
