@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def word_counts(df: DataFrame, tokens_col: str, by: str) -> DataFrame:
     """by, word, n."""
-    return df.select(by, F.explode(tokens_col).alias("word")).groupBy(by, "word").agg(F.count("*").alias("n"))
+    return df.select(by, F.explode_outer(tokens_col).alias("word")).where(F.col("word").isNotNull()).groupBy(by, "word").agg(F.count("*").alias("n"))
 
 
 def top_words(df: DataFrame, tokens_col: str, by: str, n: int = 15) -> DataFrame:
@@ -24,8 +24,13 @@ def cloud_weights(df: DataFrame, tokens_col: str, by: str, value: str | None = N
 
 
 def term_counts(df: DataFrame, id_col: str, terms_col: str) -> DataFrame:
-    """id, term, tf."""
-    return df.select(F.col(id_col).alias("id"), F.explode(terms_col).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """id, term, tf.
+
+    The outer explode keeps the optimiser from testing the list for emptiness
+    under a join, which would evaluate its whole expression a second time.
+    """
+    spread = df.select(F.col(id_col).alias("id"), F.explode_outer(terms_col).alias("term")).where(F.col("term").isNotNull())
+    return spread.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 5, max_df: float = 0.8, max_features: int | None = 5000) -> DataFrame:
