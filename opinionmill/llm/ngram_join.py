@@ -1,14 +1,17 @@
 """N-gram Jaccard join with signature trees.
 
 Every text is the set of its word shingles' 64-bit hashes; documents with the
-same set form one class and are represented once.  Two sets can reach the
-threshold only if they share one of their rarest shingles (a prefix whose
-length follows from size and threshold), so classes meet in buckets, one for
-each such shingle; buckets with the same members are one.  "Rarest" is told by
-a sketch of fixed size that counts the documents of all shingles, so very
-frequent shingles make no buckets; any order gives the same links.
-
-Within a bucket a signature tree is built: a leaf entry is a class's bitmap of
+same set form one class and are represented once.  The hash range of
+shingles is cut into parts, one more than the largest symmetric difference that
+the threshold allows for sets of that size; a linked pair then has a part in
+which both hold the same shingles, and at least one.  So classes meet in
+buckets, one for each part's content, and unrelated texts that share a shingle,
+a line or a passage don't.  Sizes are classed by powers of two, and a set near
+a class's end also joins the next one.  What meets by chance all the same is
+sifted out by trees over small bitmaps; members of the same possible links are
+one group.
+
+Within a group a signature tree is built: a leaf entry is a class's bitmap of
 hashed shingles with its size, a node the bitwise OR of its entries' bitmaps
 with the range of their sizes.  Two trees (or a tree with itself) are traversed
 together; a pair of nodes is left out when even the largest overlap that the
@@ -17,10 +20,10 @@ by intersecting the sets, unless both are connected already: only links that
 join components are wanted, so a group of thousands of near copies gives one
 spanning tree, not its square.
 
-A bucket with more classes than a block holds is dealt out: blocks are salted
-within size ranges and joined inside first; then the classes outside the
-bucket's main component meet all its blocks, block by block.  So every pair in
-a bucket is either connected or tested, and no task holds more than two blocks.
+A group with more classes than a block holds is dealt out twice: blocks are
+salted within size ranges and joined inside first; then the classes outside the
+group's main component meet all its blocks, block by block.  So every pair in
+a group is either connected or tested, and no task holds more than two blocks.
 
 Defined cases: null and empty texts and texts without a word have no shingles
 and no links; fewer words than a shingle's width make one shingle; texts are
@@ -43,8 +46,10 @@ from .common import cut
 from .components import components
 from .textbatch import mix, shingle_hashes, slices, word_hashes
 
-#: Cells of the shingle sketch, classes in a block, entries of a tree node.
-SKETCH_BITS, BLOCK, FAN = 18, 128, 8
+#: Classes in a block, entries of a tree node.
+BLOCK, FAN = 128, 8
+#: Ids or keys that are broadcast at most, some 2 MB.
+BROADCAST_ROWS = 100_000
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -57,51 +62,60 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + k, np.unique(values[ends[k] : ends[k + 1]])
 
 
-def _sketch(rows: DataFrame, width: int) -> np.ndarray:
-    """Documents that have a shingle in each cell, over all rows; its size is fixed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
-            for _, s in _sets(batch.column(0), width):
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
-
-    found = rows.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+def _difference(n: int, num: int, den: int) -> int:
+    """Most shingles that a set of n can differ in from a set it links with."""
+    return (den - num) * n // num
 
 
-def _least_overlap(n: int, num: int, den: int) -> int:
-    return -(-num * n // den)
+def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Bucket keys of a sorted set: a hash of each part's content, for its size class and, near its end, the next.
 
-
-def _summaries(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """__id, n, fp1, fp2 (together the set's fingerprint) and prefix: its rarest shingles."""
-    shared = rows.sparkSession.sparkContext.broadcast(_sketch(rows, width))
+    Empty parts give no key, unless so many are empty that the parts with
+    shingles could all differ; then partners of the same kind meet in empty ones.
+    """
+    n = len(s)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    level, found = n.bit_length(), []
+    mixed = mix(s ^ np.uint64(0xA0761D6478BD642F))
+    # Sets of the next class have 2**level shingles or more.
+    for at in (level, level + 1) if n * den >= num << level else (level,):
+        top = (1 << at) - 1
+        parts = 2 * top * (den - num) // (den + num) + 2
+        part = (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        content = np.add.reduceat(mixed, starts)
+        name = part[starts] * np.uint64(64) + np.uint64(at)
+        if len(starts) <= _difference(n, num, den):
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts], assume_unique=True)
+            content = np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
+            name = np.concatenate([name, empty * np.uint64(64) + np.uint64(at)])
+        found.append(mix(content + mix(name + np.uint64(0x5851F42D4C957F2D))))
+    return np.concatenate(found).view(np.int64)
+
+
+def _summaries(rows: DataFrame, width: int, threshold: tuple[int, int] | None = None) -> DataFrame:
+    """__id, n, fp1, fp2 (together the set's fingerprint) and, with a threshold, keys (its buckets) and bits (a bitmap of n to 2n bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
         for batch in batches:
             n, one, two = (np.zeros(len(batch), dtype=np.int64) for _ in range(3))
-            prefixes = []
+            keys, bits = [], []
             for row, s in _sets(batch.column(1), width):
                 n[row] = len(s)
                 one[row] = s.sum(dtype=np.uint64).astype(np.int64)
                 two[row] = mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64)
-                keep = len(s) - _least_overlap(len(s), num, den) + 1 if len(s) else 0
-                order = np.lexsort((s, sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
-                prefixes.append(s[order].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["__id", "n", "fp1", "fp2", "prefix"],
-            )
+                if threshold:
+                    keys.append(part_keys(s, *threshold))
+                    bits.append(packed(s, bitmap_width(len(s))) if len(s) else b"")
+            columns, names = [batch.column(0), pa.array(n), pa.array(one), pa.array(two)], ["__id", "n", "fp1", "fp2"]
+            if threshold:
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], [*names, "keys", "bits"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "__id long, n long, fp1 long, fp2 long, prefix array<long>")
+    return rows.mapInArrow(run, "__id long, n long, fp1 long, fp2 long" + (", keys array<long>, bits binary" if threshold else ""))
 
 
 # -- signature trees ----------------------------------------------------------
@@ -138,16 +152,26 @@ class Node:
         self.low, self.high, self.lost = min(p[1] for p in parts), max(p[2] for p in parts), max(p[3] for p in parts)
 
 
-def bitmap(s: np.ndarray, width: int) -> int:
+def bitmap_width(n: int) -> int:
+    """The power of two from n up, 64 at least."""
+    return max(64, 1 << (n - 1).bit_length())
+
+
+def packed(s: np.ndarray, width: int) -> bytes:
     """The set's shingles hashed to `width` bits."""
     bits = np.zeros(width, dtype=np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return np.packbits(bits).tobytes()
 
 
 def build(members: list[tuple[int, np.ndarray, int]], width: int) -> Node:
     """Tree over (class, set, start label) members, ordered by size."""
-    entries = sorted(((len(s), k, bitmap(s, width), k, s, label) for k, s, label in members), key=lambda e: (e[0], e[1]))
+    return grow([(len(s), k, int.from_bytes(packed(s, width), "big"), k, s, label) for k, s, label in members])
+
+
+def grow(entries: list[tuple]) -> Node:
+    """Tree over entries that begin with size, class and bitmap."""
+    entries = sorted(entries, key=lambda e: (e[0], e[1]))
     level = [Node(None, entries[i : i + FAN]) for i in range(0, len(entries), FAN)]
     while len(level) > 1:
         level = [Node(level[i : i + FAN], None) for i in range(0, len(level), FAN)]
@@ -183,6 +207,10 @@ class Traversal:
             for y in b.children:
                 self.walk(a, y)
 
+    def _linked(self, s: np.ndarray, t: np.ndarray) -> bool:
+        common = len(np.intersect1d(s, t, assume_unique=True))
+        return common * self.den >= self.num * (len(s) + len(t) - common)
+
     def _leaves(self, a: Node, b: Node) -> None:
         find = self.forest.find
         for i, (n, _, bits, k, s, label) in enumerate(a.entries):
@@ -191,12 +219,49 @@ class Traversal:
                     continue
                 if not self._possible(bits, other, min(n - bits.bit_count(), m - other.bit_count()), n, n, m, m):
                     continue
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if common * self.den >= self.num * (n + m - common):
+                if self._linked(s, t):
                     self.forest.join(x, y)
                     self.links.append((k, j))
 
 
+class Hopes(Traversal):
+    """Links what sizes and bitmaps alone don't rule out."""
+
+    def _linked(self, s: None, t: None) -> bool:
+        return True
+
+    def over(self, members: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        """Possible links among (class, size, bitmap) members; bitmaps of neighbouring widths are folded to the smaller."""
+        by_width: dict[int, list[tuple]] = {}
+        for k, n, raw in members:
+            by_width.setdefault(8 * len(raw), []).append((n, k, int.from_bytes(raw, "big"), k, None, k))
+        for width, entries in by_width.items():
+            tree = grow(entries)
+            self.walk(tree, tree)
+            if wider := by_width.get(2 * width):
+                self.walk(tree, grow([(n, k, bits >> width | bits & (1 << width) - 1, k, None, k) for n, k, bits, *_ in wider]))
+        return self.links
+
+
+def _hopes(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible links a, b within each bucket of at most a block: rows key, __id, n, bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, found = None, [], []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    found += Hopes(num, den).over(group) if len(group) > 1 else []
+                    key, group = k, []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            found = []
+        found = Hopes(num, den).over(group) if len(group) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return rows.select("key", "__id", "n", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def _width(sizes: list[int]) -> int:
     return max(256, 1 << (4 * max(sizes) - 1).bit_length())
 
@@ -238,44 +303,60 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _if_small(rows: DataFrame) -> DataFrame:
+    """For a join: few rows, counted first, are broadcast, so that the other side isn't moved; else both are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _elements(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """__id, n, elements (the set as bytes) of the texts whose id is wanted."""
+    """__id, elements (the set as bytes) of the texts whose id is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s for _, s in _sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["__id", "n", "elements"]
+                [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["__id", "elements"]
             )
 
-    return rows.join(wanted, "__id", "left_semi").mapInArrow(run, "__id long, n long, elements binary")
+    return rows.join(_if_small(wanted), "__id", "left_semi").mapInArrow(run, "__id long, elements binary")
 
 
 def _links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links a, b between classes (__id, n, prefix): a spanning forest of the graph of all links."""
-    posts = classes.select("__id", "n", F.explode("prefix").alias("key"))
+    """Links a, b between classes (__id, n, keys, bits): a spanning forest of the graph of all links."""
+    posts = classes.select("__id", F.explode("keys").alias("key"))
     # Buckets with two classes or more, once for each set of members.
-    buckets = posts.groupBy("key").agg(
-        F.count("*").alias("m"), F.bit_xor(F.xxhash64("__id")).alias("h1"), F.bit_xor(F.xxhash64("__id", F.lit(1))).alias("h2")
-    )
-    buckets = cut(buckets.where("m > 1").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m"))
-    members = cut(posts.join(buckets, "key"))
-    sets = cut(_elements(rows, members.select("__id").distinct(), width))
-    # Buckets beyond a block: salted blocks within size ranges.
-    step = log(den / num)
-    sized = members.withColumn("range", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / step)).otherwise(-1).cast("long"))
-    large = sized.where(F.col("m") > BLOCK)
-    has_large = not buckets.where(F.col("m") > BLOCK).isEmpty()
-    blocked = sized.where(F.col("m") <= BLOCK).withColumn("salt", F.lit(0).cast("long"))
+    one = F.xxhash64("__id")
+    buckets = posts.groupBy("key").agg(F.min("__id").alias("low"), F.max("__id").alias("high"), F.bit_xor(one).alias("all")).where("low < high")
+    buckets = cut(buckets.groupBy("low", "high", "all").agg(F.min("key").alias("key")))
+    # Two members are known by now; longer buckets look their members up.
+    is_pair = F.col("all") == F.xxhash64("low").bitwiseXOR(F.xxhash64("high"))
+    two = buckets.where(is_pair).select("key", "low", F.explode(F.array("low", "high")).alias("__id"), F.lit(2).cast("long").alias("m"))
+    wide = cut(posts.join(_if_small(buckets.where(~is_pair).select("key", "low")), "key"))
+    wide = wide.join(wide.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", "low", "__id", "m")
+    # Chance meetings are sifted out by bitmaps; crowded buckets go on as they are.
+    small = two.unionByName(wide.where(F.col("m") <= BLOCK)).join(classes.select("__id", "n", "bits"), "__id")
+    crowded = wide.where(F.col("m") > BLOCK).select(F.col("low").alias("a"), F.col("__id").alias("b"))
+    met = cut(_hopes(small, num, den).unionByName(crowded))
+    # Buckets that share members are searched as one, so that each set is moved once.
+    groups = components(met).select(F.col("node").alias("__id"), F.col("component").alias("key"))
+    members = cut(groups.join(groups.groupBy("key").agg(F.count("*").alias("m")), "key"))
+    sets = cut(_elements(rows, members.select("__id"), width))
+    # Groups beyond a block: salted blocks within size ranges, dealt twice so that the blocks' components join.
+    step = log(den / num) if den > num else log(2)
+    has_large = not members.where(F.col("m") > BLOCK).isEmpty()
+    blocked = members.where(F.col("m") <= BLOCK).select("key", "__id", F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("salt"), F.lit(0).alias("deal"))
     if has_large:
-        counts = large.groupBy("key", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-        large = cut(large.join(counts, ["key", "range"]).withColumn("salt", F.pmod(F.xxhash64("__id", "key"), F.col("salts"))).drop("salts"))
+        large = members.where(F.col("m") > BLOCK).join(classes.select("__id", "n"), "__id").withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
+        large = large.select("key", "__id", "deal", F.floor(F.log("n") / step + F.col("deal") / 2).alias("range"))
+        counts = large.groupBy("key", "deal", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+        large = cut(large.join(counts, ["key", "deal", "range"]).withColumn("salt", F.pmod(F.xxhash64("__id", "key", "deal"), F.col("salts"))).drop("salts"))
         blocked = blocked.unionByName(large)
-    inside = blocked.select(F.xxhash64("key", "range", "salt").alias("gid"), F.lit(0).alias("side"), "__id", "n", F.col("__id").alias("label"))
-    found = cut(_join_groups(inside.join(sets, ["__id", "n"]), num, den))
+        large = large.where("deal = 0").drop("deal")
+    inside = blocked.select(F.xxhash64("key", "deal", "range", "salt").alias("gid"), F.lit(0).alias("side"), "__id", F.col("__id").alias("label"))
+    found = cut(_join_groups(inside.join(sets, "__id"), num, den))
     if not has_large:
         return found
-    # Classes outside a large bucket's main component meet all of its blocks in reach.
+    # Classes outside a large group's main component meet all of its blocks in reach.
     known = components(found)
     labelled = large.join(known.withColumnRenamed("node", "__id"), "__id", "left").withColumn("label", F.coalesce("component", "__id")).drop("component")
     labelled = cut(labelled)
@@ -288,10 +369,10 @@ def _links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int)
     blocks = labelled.groupBy("key", "range", "salt").agg(F.min("label").alias("b_low"), F.max("label").alias("b_high")).withColumnRenamed("range", "to_range")
     pairs = asking.join(blocks, ["key", "to_range"]).where("not (low = high and b_low = b_high and low = b_low)")
     pairs = pairs.select("key", "range", "part", "to_range", "salt", F.xxhash64("key", "range", "part", "to_range", "salt").alias("gid"))
-    columns = ["gid", "side", "__id", "n", "label"]
-    one = outside.join(pairs, ["key", "range", "part"]).withColumn("side", F.lit(0)).select(*columns)
-    two = labelled.withColumnRenamed("range", "to_range").join(pairs, ["key", "to_range", "salt"]).withColumn("side", F.lit(1)).select(*columns)
-    return found.unionByName(cut(_join_groups(one.unionByName(two).join(sets, ["__id", "n"]), num, den)))
+    columns = ["gid", "side", "__id", "label"]
+    asked = outside.join(pairs, ["key", "range", "part"]).withColumn("side", F.lit(0)).select(*columns)
+    told = labelled.withColumnRenamed("range", "to_range").join(pairs, ["key", "to_range", "salt"]).withColumn("side", F.lit(1)).select(*columns)
+    return found.unionByName(cut(_join_groups(asked.unionByName(told).join(sets, "__id"), num, den)))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,11 +384,11 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] =
     """
     num, den = threshold
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    summaries = cut(_summaries(rows, width, num, den))
+    summaries = cut(_summaries(rows, width))
     some = summaries.where("n > 0 and __id is not null")
-    classes = some.groupBy("fp1", "fp2", "n").agg(F.min("__id").alias("class_id"), F.first("prefix").alias("prefix"))
-    classes = cut(classes)
-    found = _links(rows, classes.select(F.col("class_id").alias("__id"), "n", "prefix"), width, num, den)
+    keyed = _summaries(rows, width, threshold).where("n > 0 and __id is not null")
+    classes = cut(keyed.groupBy("fp1", "fp2", "n").agg(F.min("__id").alias("class_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    found = _links(rows, classes.select(F.col("class_id").alias("__id"), "n", "keys", "bits"), width, num, den)
     # Members of a class are linked with its representative; rows that share an id with each other by that id.
     same = some.join(classes.select("fp1", "fp2", "n", "class_id"), ["fp1", "fp2", "n"]).select(F.col("__id").alias("a"), F.col("class_id").alias("b"))
     labels = components(found.unionByName(same.where("a != b")))
