@@ -37,10 +37,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the largest doc_id."""
-    stay = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]) & (text == stay["__sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+    stay = exact_dedup.exact_duplicates(docs).where("kept")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
+    keyed = docs.withColumns({"__key": key, "__sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    # Join and deduplication have the same key, so texts are moved once.
+    found = keyed.join(stay.select(key, F.col("text_sha256").alias("__sha")).distinct(), ["__key", "__sha"], "left_semi")
+    return found.dropDuplicates(["__key", "__sha"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
