@@ -143,9 +143,9 @@ def text_length_stats(spark, sf_dir):
     return profile.text_length_stats(reviews(spark, sf_dir), "review_text").withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
-@register("text_length", f"WITH {REVIEWS_SQL} SELECT review_id, length(review_text)::INT AS text_length FROM reviews")
+@register("text_length", f"WITH {REVIEWS_SQL} SELECT review_id, length(review_text)::DOUBLE AS text_length FROM reviews")
 def text_length(spark, sf_dir):
-    return profile.with_text_length(reviews(spark, sf_dir), "review_text").select("review_id", "text_length")
+    return profile.with_text_length(reviews(spark, sf_dir), "review_text").select("review_id", F.col("text_length").cast("double"))
 
 
 @register("short_texts", f"WITH {REVIEWS_SQL} SELECT review_text, sentiment, length(review_text)::INT AS text_length FROM reviews WHERE length(review_text) < 45")
@@ -352,7 +352,11 @@ def _tfidf_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
 
 def _nb(spark, sf_dir) -> tuple[naive_bayes.NaiveBayes, DataFrame, DataFrame]:
     rows, train, test, _ = _tfidf_parts(spark, sf_dir)
-    return naive_bayes.fit(train, rows.where(~F.col("is_test")).select("id", "label")), rows.where("is_test"), test
+    # Weights and model are read by several joins each.
+    model = naive_bayes.fit(train.persist(), rows.where(~F.col("is_test")).select("id", "label"))
+    model.classes.persist()
+    model.terms.persist()
+    return model, rows.where("is_test"), test.persist()
 
 
 def _counts_sql(stop_words: list[str]) -> str:
@@ -506,7 +510,7 @@ def dedupe_columns(spark, sf_dir):
 
 @register(
     "tolerant_csv",
-    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE lower(o_orderpriority) END AS text, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_orderkey % 6 END AS rating
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE lower(o_orderpriority) END AS text, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE (o_orderkey % 6)::DOUBLE END AS rating
 FROM orders WHERE o_orderkey % 10 <> 7""",
 )
 def tolerant_csv(spark, sf_dir):
@@ -520,14 +524,14 @@ def tolerant_csv(spark, sf_dir):
     table(spark, sf_dir, "orders").select(line.alias("value")).write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\u0001").csv(f"{path}/raw")
     rows = spark.read.text(f"{path}/raw").where("value != 'value'")
     header.unionByName(rows).coalesce(1).write.text(f"{path}/one")
-    return csv.read_tolerant(spark, f"{path}/one")
+    return csv.read_tolerant(spark, f"{path}/one").withColumn("rating", F.col("rating").cast("double"))
 
 
-@register("csv_roundtrip", f"WITH {REVIEWS_SQL} SELECT review_id, review_text, sentiment::INT AS sentiment FROM reviews")
+@register("csv_roundtrip", f"WITH {REVIEWS_SQL} SELECT review_id, review_text, sentiment::DOUBLE AS sentiment FROM reviews")
 def csv_roundtrip(spark, sf_dir):
     path = shared_folder(spark, "csv")
     csv.write_csv(reviews(spark, sf_dir), path)
-    return csv.read_strict(spark, path).select(F.col("review_id").cast("long"), "review_text", F.col("sentiment").cast("int"))
+    return csv.read_strict(spark, path).select(F.col("review_id").cast("long"), "review_text", F.col("sentiment").cast("double"))
 
 
 @register("file_inventory")
