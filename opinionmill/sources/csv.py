@@ -87,4 +87,6 @@ def load_reviews(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; vector, array and map columns are left out."""
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
-    df.select(*[f"`{c}`" for c in plain]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*[f"`{c}`" for c in plain]).write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
