@@ -11,9 +11,10 @@ often as the counts allow, then the next one is sought.  Pieces are numbered
 within their length in salted groups, so a length shared by a third of all
 pieces is still numbered by many tasks, and find their window by that number.
 
-Defined cases: null text is empty and consists of its closing id; long texts
-give many pieces; repeated rows are packed each; an empty table gives an empty
-result; other columns are not read.
+Defined cases: null text is empty and consists of its closing id; an added
+token of the vocabulary inside a text is its one id, and what lies around it is
+encoded as texts of their own; long texts give many pieces; repeated rows are
+packed each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,14 +54,15 @@ class WordTokenizer:
     """Token ids of a byte-level vocabulary file, with a memo of space-delimited words.
 
     No token spans a single space between two other characters except as its
-    first character, so words are encoded apart.
+    first character, so words are encoded apart.  Added tokens are cut out first.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         chars, vocab = _byte_of_char(), model["vocab"]
         merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         if any(vocab[a] >= vocab[b] for a, b in zip(merges, merges[1:])):
@@ -69,6 +71,13 @@ class WordTokenizer:
         ranks = {bytes([chars[c] for c in token]): i for token, i in vocab.items() if len(token) == 1 or token in formed}
         self.encode = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.memo: dict[str, bytes] = {}
+        added = file.get("added_tokens") or []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings are not built")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        # The leftmost token is cut out, of those that begin there the longest.
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
 
     def _stretches(self, text: str) -> Iterator[str]:
         """The text cut before single spaces between other characters."""
@@ -83,6 +92,13 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.cuts is None or not self.cuts.search(text):
+            return self._between(text)
+        # Added tokens stand at the odd places.
+        return b"".join(self.added[part] if k % 2 else self._between(part) for k, part in enumerate(self.cuts.split(text)) if part)
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         memo, parts = self.memo, []
         for stretch in self._stretches(text):
             lead = stretch[:1] == " " and stretch[1:2].strip() != ""

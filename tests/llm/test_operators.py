@@ -124,6 +124,19 @@ def test_packing(docs, empty):
     assert packing.pack(empty, BYTES).count() == 0
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    lib, end = Tokenizer.from_file(BYTES), "<|endoftext|>"
+    texts = [f"end{end} next", f"{end}start", f"stop{end}", end, f"a{end}{end} {end}\n\n{end}b", f"two  {end}  spaces {end} one ", f"<|endof{end}text|>", "<|endoftext |>", f" {end}" * 300]
+    texts.append(("long words " * 60_000) + end + "after it")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(df, BYTES, with_ids=True).collect()
+    for i, t in enumerate(texts):
+        ids = [x for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]) for x in r["ids"]]
+        assert ids == lib.encode(t, add_special_tokens=False).ids + [0]
+
+
 def test_subset_sum_is_closest():
     r = np.random.default_rng(1)
     for _ in range(50):
