@@ -34,7 +34,7 @@ from .textbatch import SPACE, slices
 
 BITS = 18
 #: Labelled rows that the classifier is fitted on, at most.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 12_000
 #: Rates are this many times a token's share, so that one coordinate's step is of the order of one.
 RATE = 16.0
 

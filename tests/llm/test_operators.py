@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionmill.llm import components, embed_dedup, exact_dedup, langid, line_templates, ngram_join, packing, quality, sharding, sp_codec, toxicity
+from opinionmill.llm.common import labelled_sample
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 BASE = " ".join(f"word{k % 37}x{k}" for k in range(120))
@@ -246,6 +247,17 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_training_bounds(spark):
+    """As many rows are learnt from, and as many n-grams weighed, as there were before the bounds were halved."""
+    r = np.random.default_rng(8)
+    rows = [(i, "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz "), 900)), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert np.count_nonzero(toxicity.fit(df, df.select("doc_id", "label")).weights) > 1 << 14
+    many = spark.range(12_500).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), (F.col("id") % 2).alias("label"))
+    for rows in (toxicity.TRAIN_ROWS, quality.TRAIN_ROWS):
+        assert labelled_sample(many, many.select("doc_id", "label"), rows).count() == 12_000
+
+
 def test_language(spark, empty):
     words = {"en": "the cat and the dog went over the hill with this thing".split(), "de": "der hund und die katze gingen über den hügel mit einem ding".split()}
     r = np.random.default_rng(4)
