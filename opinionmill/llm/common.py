@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,24 @@ def held_out(id_col: str, modulus: int, remainder: int) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `rows` labelled texts, picked by a hash of their id: columns text, label.
+    """At most `rows` labelled texts, picked by a hash of their id label by label: columns text, label.
 
-    `labels` has id_col and label; null labels and ids are left out.  The picked
-    labels are at most `rows`, so they are broadcast and the texts aren't moved.
+    Every label gets an equal share; what a rare one leaves goes to the others.
+    `labels` has id_col, once each, and label; null labels and ids are left out.
+    More labels than `rows` are an error.  The picked labels are at most `rows`,
+    so they are broadcast and the texts aren't moved.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).select(F.col(id_col).alias("__id"), "label")
-    picked = known.orderBy(F.xxhash64("__id", F.lit(7)), "__id", "label").limit(rows)
+    known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).select(F.col(id_col).alias("__id"), "label", F.xxhash64(id_col, F.lit(7)).alias("__hash"))
+    # Only the first parts of the hash range that hold `rows` rows of a label are ranked, so that no label is one task.
+    part = F.shiftright("__hash", 52)
+    counts = known.groupBy("label", part.alias("__part")).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("label").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") < rows).groupBy("label").agg(F.max("__part").alias("__last"))
+    found = lasts.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more labels than the {rows} rows to learn from")
+    near = known.join(F.broadcast(docs.sparkSession.createDataFrame(found, lasts.schema)), "label").where(part <= F.col("__last"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("__hash", "__id"))
+    picked = near.withColumn("__rank", rank).orderBy("__rank", "__hash", "__id", "label").limit(rows).select("__id", "label")
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return cut(texts.join(F.broadcast(picked), "__id").select("text", "label"))

@@ -9,8 +9,8 @@ by two matrix products, n-gram presence times landmarks, then kernel values
 times coefficients, in one narrow pass.
 
 Fitting uses at most `train_rows` documents with a known language, picked by a
-hash of their id, and `landmarks` of them for each language.  Language, source
-and id are no features.
+hash of their id language by language, and `landmarks` of them for each.  More
+than 256 languages are an error.  Language, source and id are no features.
 
 Defined cases: null texts and texts without a letter get `und` and score 0;
 long texts are read whole, in windows; with no training text everything is
@@ -79,7 +79,9 @@ def fit(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on documents whose id is in `languages` (id_col, label: a language)."""
     once = languages.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("label").alias("label"))
     sample = labelled_sample(docs, once, train_rows, id_col, text_col).where(F.col("text").rlike(r"\p{L}"))
-    names = sorted(r["label"] for r in sample.select("label").distinct().limit(MAX_LANGUAGES).collect())
+    names = sorted(r["label"] for r in sample.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not names:
         return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
     order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "text"))

@@ -6,6 +6,9 @@ from collections import deque
 
 import numpy as np
 
+#: Entries worked on at once.
+CHUNK = 1 << 20
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
@@ -14,14 +17,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_logistic(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, weights: np.ndarray, n_columns: int, l2: float, rounds: int = 60
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the weighted log loss plus l2/2 |w|^2, by limited-memory BFGS."""
+    """Weights and intercept that minimise the weighted log loss plus l2/2 |w|^2, by limited-memory BFGS.
+
+    Entries are read in chunks, so that their temporaries stay small.
+    """
     n = len(labels)
+    chunks = [slice(at, at + CHUNK) for at in range(0, len(values), CHUNK)]
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(rows, theta[columns] * values, minlength=n) + theta[-1]
+        z, slopes = np.full(n, theta[-1]), np.zeros(n_columns)
+        for c in chunks:
+            z += np.bincount(rows[c], theta[columns[c]] * values[c], minlength=n)
         loss = weights @ (np.logaddexp(0, z) - labels * z) + l2 / 2 * theta[:-1] @ theta[:-1]
         g = weights * (sigmoid(z) - labels)
-        return loss, np.append(np.bincount(columns, g[rows] * values, minlength=n_columns) + l2 * theta[:-1], g.sum())
+        for c in chunks:
+            slopes += np.bincount(columns[c], g[rows[c]] * values[c], minlength=n_columns)
+        return loss, np.append(slopes + l2 * theta[:-1], g.sum())
 
     theta = np.zeros(n_columns + 1)
     loss, grad = value(theta)

@@ -8,7 +8,7 @@ weights at zero.  A score is a sparse dot product, one narrow pass without a
 shuffle.
 
 Training uses at most `train_rows` labelled documents, picked by a hash of
-their id.  Labels, language, source and id are no features.
+their id class by class.  Labels, language, source and id are no features.
 
 Defined cases: null text is empty; an empty text scores by the intercept
 alone; long texts are read whole; a document labelled twice counts as low
@@ -116,7 +116,7 @@ def fit(
     l2: float = 0.1,
 ) -> Model:
     """Fit on documents whose id is in `labels` (id_col, label: above 0 is good)."""
-    once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("label").alias("label"))
+    once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg((F.min("label") > 0).cast("long").alias("label"))
     rows = _features(labelled_sample(docs, once, train_rows, id_col, text_col))
     size = 1 << BITS
     share = sum(y for y, _, _ in rows) / len(rows) if rows else 0.5

@@ -8,7 +8,7 @@ each bucket, so a text's score is the mean weight of its n-grams, read in one
 narrow pass without a shuffle.
 
 Training uses at most `train_rows` labelled documents, picked by a hash of
-their id.  Labels, language, source and id are no features.
+their id class by class.  Labels, language, source and id are no features.
 
 Defined cases: null text is empty; an empty text scores by the intercept
 alone; long texts are read whole, in windows; a document labelled twice counts
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +73,18 @@ def _presence(sample: DataFrame) -> np.ndarray:
 
 
 def _features(sample: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rates of the buckets with a scale, as rows, columns among them and values, and the labels; at most TRAIN_ROWS rows."""
+    """Rates of the buckets with a scale, times it, as rows, columns among them and values, and the labels; at most TRAIN_ROWS rows.
+
+    Columns and counts travel in two bytes each; a count beyond them is several entries.
+    """
     place = np.cumsum(scale != 0) - 1
     place[scale == 0] = -1
+    used = scale[scale != 0].astype(np.float32)
+    narrow = "<u2" if len(used) <= 1 << 16 else "<u4"
     kept = sample.sparkSession.sparkContext.broadcast(place.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = kept.value
+        place, most = kept.value, (1 << 16) - 1
         for batch in batches:
             out = []
             for _, _, data, offsets in slices(batch.column(0)):
@@ -86,22 +92,35 @@ def _features(sample: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, np.ndar
                     buckets = _buckets(data[offsets[k] : offsets[k + 1]])
                     found = place[buckets]
                     at, n = np.unique(found[found >= 0], return_counts=True)
-                    out.append((at.astype("<i4").tobytes(), (n / max(1, len(buckets))).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "at", "rate"]
-            )
-
-    found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary").toArrow()
-    at, rate = (pa.concat_arrays(found[c].chunks) if found.num_rows else pa.array([], pa.binary()) for c in ("at", "rate"))
-    ends = buffers(at)[1]
-    rows = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(ends) // 4)
-    columns, rates = (np.frombuffer(buffers(c)[0], dtype=kind)[: len(rows)] for c, kind in ((at, "<i4"), (rate, "<f4")))
-    return rows, columns, rates, (found["label"].to_numpy() > 0).astype(float)
+                    while len(n) and n.max() > most:
+                        more = n > most
+                        at, n = np.append(at, at[more]), np.append(np.minimum(n, most), n[more] - most)
+                    out.append((at.astype(narrow).tobytes(), n.astype("<u2").tobytes(), max(1, len(buckets))))
+            kinds = (pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds))], names=["label", "at", "n", "total"])
+
+    found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, n binary, total long").toArrow()
+    sizes = pc.divide(pc.binary_length(found["n"]), 2).to_numpy()
+    rows = np.repeat(np.arange(len(sizes), dtype="<u2" if len(sizes) <= 1 << 16 else np.int32), sizes)
+    columns, values, at = np.empty(len(rows), dtype=narrow), np.empty(len(rows), dtype=np.float32), 0
+    for batch in found.to_batches():
+        cells = np.frombuffer(_content(batch["at"]), dtype=narrow)
+        part = slice(at, at + len(cells))
+        columns[part] = cells
+        total = np.repeat(batch["total"].to_numpy(), pc.divide(pc.binary_length(batch["n"]), 2).to_numpy())
+        values[part] = np.frombuffer(_content(batch["n"]), dtype="<u2") / total * used[cells]
+        at += len(cells)
+    return rows, columns, values, (found["label"].to_numpy() > 0).astype(float)
+
+
+def _content(column: pa.Array) -> np.ndarray:
+    raw, ends = buffers(column)
+    return raw[ends[0] : ends[-1]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, l2: float = 1e-3) -> Model:
     """Fit on documents whose id is in `labels` (id_col, label: above 0 is toxic)."""
-    once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("label").alias("label"))
+    once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("label") > 0).cast("long").alias("label"))
     sample = labelled_sample(docs, once, train_rows, id_col, text_col)
     counts = _presence(sample)
     n_other, n_toxic = counts[:, -1]
@@ -116,10 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pooled = (present.sum(axis=0) + 1) / (n_other + n_toxic + 2)
     evidence = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / n_other + 1 / n_toxic))
     ratio[np.argsort(-evidence, kind="stable")[KEPT_BUCKETS:]] = 0
-    rows, columns, rates, y = _features(sample, ratio)
+    rows, columns, values, y = _features(sample, 100 * ratio)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     used = np.flatnonzero(ratio)
-    values = rates * (100 * ratio[used]).astype(np.float32)[columns]
     w, intercept = fit_logistic(rows, columns, values, y, balance, len(used), l2 / len(y))
     weights[used] = w * ratio[used] * 100
     return Model(weights.astype(np.float32), intercept)

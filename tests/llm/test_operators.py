@@ -258,6 +258,21 @@ def test_training_bounds(spark):
         assert labelled_sample(many, many.select("doc_id", "label"), rows).count() == 12_000
 
 
+def test_samples_hold_rare_labels(spark):
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3000 == 5, "rare").when(F.col("doc_id") % 30 == 1, "some").otherwise("usual").alias("label"))
+    found = Counter(r["label"] for r in labelled_sample(docs, labels, 60).collect())
+    assert found["rare"] == 3 and {found["some"], found["usual"]} == {28, 29}
+    assert labelled_sample(docs, labels, 10_000).count() == 9_000
+    with pytest.raises(ValueError):
+        labelled_sample(docs, labels, 2)
+    with pytest.raises(ValueError):
+        langid.fit(docs, docs.select("doc_id", (F.col("doc_id") % 300).cast("string").alias("label")))
+    toxic = docs.select("doc_id", F.when(F.col("doc_id") % 3000 == 5, 3).otherwise(-(F.col("doc_id") % 40)).alias("label"))
+    model = toxicity.fit(docs, toxic, train_rows=60)
+    assert model.weights.any()
+
+
 def test_language(spark, empty):
     words = {"en": "the cat and the dog went over the hill with this thing".split(), "de": "der hund und die katze gingen über den hügel mit einem ding".split()}
     r = np.random.default_rng(4)
