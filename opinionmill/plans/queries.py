@@ -569,7 +569,7 @@ def train_svm(spark, sf_dir):
 
 @register("train_forest")
 def train_forest(spark, sf_dir):
-    return ml.evaluate(_trained(spark, sf_dir, ml.FOREST, max_features=500))
+    return ml.evaluate(_trained(spark, sf_dir, ml.FOREST))
 
 
 @register("cross_validate")
@@ -579,7 +579,7 @@ def cross_validate(spark, sf_dir):
 
 @register("batch_predict")
 def batch_predict(spark, sf_dir):
-    trained = _trained(spark, sf_dir, ml.LOGISTIC, max_features=2000)
+    trained = _trained(spark, sf_dir, ml.LOGISTIC)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ml.batch_predict(trained, docs, "text").select("doc_id", "predicted_sentiment", r6("confidence").alias("confidence"))
 
