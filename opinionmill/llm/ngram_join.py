@@ -1,35 +1,41 @@
 """N-gram Jaccard join with signature trees.
 
 Every text is the set of its word shingles' 64-bit hashes; documents with the
-same set form one class and are represented once.  The hash range of
-shingles is cut into parts, one more than the largest symmetric difference that
-the threshold allows for sets of that size; a linked pair then has a part in
-which both hold the same shingles, and at least one.  So classes meet in
-buckets, one for each part's content, and unrelated texts that share a shingle,
-a line or a passage don't.  Sizes are classed by powers of two, and a set near
-a class's end also joins the next one.  What meets by chance all the same is
-sifted out by trees over small bitmaps; members of the same possible links are
-one group.
-
-Within a group a signature tree is built: a leaf entry is a class's bitmap of
+same set form one class and are represented once.  Trees need the sets that
+could link in one task, so sets are first dealt out: the hash range of shingles
+is cut into parts, more than the largest symmetric difference that the
+threshold allows for sets of that size.  Linked sets then hold the same
+shingles in several parts, whose contents' hashes are the keys under which they
+meet; unrelated texts that share a shingle, a line or a passage rarely do.
+Sizes are classed by powers of two, and a set near a class's end also joins the
+next one.  Keys travel packed, six bytes each, and all that follows goes by
+fingerprints until sets are compared.
+
+Sets that share with the first owner of their keys as many keys as linked sets
+must, are searched first, as groups around that centre.  Then a key is open only
+if its owners are of different components.  A set that links with another
+component has as many open keys as linked sets must share; sets with fewer
+leave, and what is left, mostly nothing, is searched key by key.
+
+A group is searched by a signature tree: a leaf entry is a set's bitmap of
 hashed shingles with its size, a node the bitwise OR of its entries' bitmaps
 with the range of their sizes.  Two trees (or a tree with itself) are traversed
 together; a pair of nodes is left out when even the largest overlap that the
 bitmaps allow is too small for the sizes.  What reaches the leaves is decided
 by intersecting the sets, unless both are connected already: only links that
-join components are wanted, so a group of thousands of near copies gives one
-spanning tree, not its square.
+join components are wanted, so thousands of near copies give one spanning tree,
+not its square.
 
-A group with more classes than a block holds is dealt out twice: blocks are
-salted within size ranges and joined inside first; then the classes outside the
-group's main component meet all its blocks, block by block.  So every pair in
-a group is either connected or tested, and no task holds more than two blocks.
+Large groups are dealt out in blocks, so no task holds more than two blocks.
+Around a centre each block has the centre; of an open key, the sets outside its
+main component meet all blocks within reach of their sizes.
 
 Defined cases: null and empty texts and texts without a word have no shingles
 and no links; fewer words than a shingle's width make one shingle; texts are
 read whole; repeated rows link with each other; rows that share an id are one
-document with several texts, linked if any of them is; ids must be integers,
-and a null id stands alone; an empty table gives an empty result.
+document with several texts, linked if any of them is; ids that are no integers
+and thresholds of one half or less are errors, and a null id stands alone; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,15 +45,19 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import cut
 from .components import components
 from .textbatch import mix, shingle_hashes, slices, word_hashes
 
-#: Classes in a block, entries of a tree node.
+#: Sets in a block, entries of a tree node.
 BLOCK, FAN = 128, 8
+#: Keys that a task posts at once, copies it remembers, keys that a bucket sifts at once, owners that make a key crowded.
+FLUSH, SEEN, BUCKET_KEYS, CROWD = 1 << 20, 1 << 18, 1 << 23, 4096
 #: Ids or keys that are broadcast at most, some 2 MB.
 BROADCAST_ROWS = 100_000
 
@@ -62,60 +72,214 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + k, np.unique(values[ends[k] : ends[k + 1]])
 
 
-def _difference(n: int, num: int, den: int) -> int:
-    """Most shingles that a set of n can differ in from a set it links with."""
-    return (den - num) * n // num
+def _classes(n: int, num: int, den: int) -> tuple[int, ...]:
+    """Size classes of a set of n: that of its own power of two and, near its end, the next."""
+    level = n.bit_length()
+    # Sets of the next class have 2**level shingles or more.
+    return (level, level + 1) if n * den >= num << level else (level,)
 
 
-def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Bucket keys of a sorted set: a hash of each part's content, for its size class and, near its end, the next.
+def _difference(n: int, m: int, num: int, den: int) -> int:
+    """Largest symmetric difference of two linked sets of n and m shingles."""
+    return (n + m) * (den - num) // (den + num)
+
+
+def _keys(s: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Size class, need and bucket keys of a sorted set for each of its size classes.
 
-    Empty parts give no key, unless so many are empty that the parts with
-    shingles could all differ; then partners of the same kind meet in empty ones.
+    A key is a hash of one part's content.  A class has more parts than linked
+    sets can differ in; `need` is the least number of its keys that a set
+    shares with any set it links with.  Empty parts give no key, unless so many
+    are empty that all parts with shingles could differ; then partners of the
+    same kind meet in empty ones.
     """
     n = len(s)
     if not n:
-        return np.zeros(0, dtype=np.int64)
-    level, found = n.bit_length(), []
+        return
+    reach = n * den // num
     mixed = mix(s ^ np.uint64(0xA0761D6478BD642F))
-    # Sets of the next class have 2**level shingles or more.
-    for at in (level, level + 1) if n * den >= num << level else (level,):
-        top = (1 << at) - 1
-        parts = 2 * top * (den - num) // (den + num) + 2
+    for level in _classes(n, num, den):
+        top = (1 << level) - 1
+        most = _difference(top, top, num, den)
+        parts = most + 3 + most // 8
         part = (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         content = np.add.reduceat(mixed, starts)
-        name = part[starts] * np.uint64(64) + np.uint64(at)
-        if len(starts) <= _difference(n, num, den):
+        name = part[starts] * np.uint64(64) + np.uint64(level)
+        need = len(starts) - _difference(n, min(reach, top), num, den)
+        if need < 1:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts], assume_unique=True)
             content = np.concatenate([content, np.zeros(len(empty), dtype=np.uint64)])
-            name = np.concatenate([name, empty * np.uint64(64) + np.uint64(at)])
-        found.append(mix(content + mix(name + np.uint64(0x5851F42D4C957F2D))))
-    return np.concatenate(found).view(np.int64)
+            name = np.concatenate([name, empty * np.uint64(64) + np.uint64(level)])
+        yield level, max(1, need), mix(content + mix(name + np.uint64(0x5851F42D4C957F2D)))
 
 
-def _summaries(rows: DataFrame, width: int, threshold: tuple[int, int] | None = None) -> DataFrame:
-    """__id, n, fp1, fp2 (together the set's fingerprint) and, with a threshold, keys (its buckets) and bits (a bitmap of n to 2n bits)."""
+def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """All bucket keys of a sorted set."""
+    found = [keys for _, _, keys in _keys(s, num, den)]
+    return np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+
+
+# -- postings -----------------------------------------------------------------
+#: A posting list's head: the set's fingerprint, its need and size class, and how many keys follow.
+_HEAD = np.dtype([("owner", "<i8"), ("need", "<u4"), ("count", "<u4"), ("level", "u1")])
+_POSTS = "bucket int, __id long, n long, fp1 long, fp2 long, heads binary, keys binary"
+_MEETINGS = "__id long, n long, fp1 long, fp2 long, gid long, level int, weight long, low long, low_need int, owners array<long>, needs array<int>"
+
+
+def _batch(schema: pa.Schema, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def _packed_posts(pending: list[tuple[int, int, int, np.ndarray]], buckets: int) -> dict[str, pa.Array]:
+    """One row for each bucket: heads, and six bytes of each key; the bucket stands for the rest."""
+    keys = np.concatenate([p[3] for p in pending])
+    table = np.zeros(len(pending), dtype=_HEAD)
+    table["owner"], table["need"], table["level"] = ([p[k] for p in pending] for k in (0, 1, 2))
+    head = np.repeat(np.arange(len(pending)), [len(p[3]) for p in pending])
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    head, raw = head[order], (keys // np.uint64(buckets))[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some, heads, packed_keys = np.flatnonzero(np.diff(edges)), [], []
+    for b in some:
+        own = head[edges[b] : edges[b + 1]]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        part = table[own[first]]
+        part["count"] = np.diff(np.append(first, len(own)))
+        heads.append(part.tobytes())
+        packed_keys.append(raw[edges[b] : edges[b + 1]].tobytes())
+    return {"bucket": pa.array(some), "heads": pa.array(heads, pa.binary()), "keys": pa.array(packed_keys, pa.binary())}
+
+
+def _hashed(rows: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Every text read once: a row with __id, n and fingerprint, and rows of posting lists dealt to buckets."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in ("__id", "n", "fp1", "fp2")), ("heads", pa.binary()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Copies within a task post once.
+        seen, pending, size = set(), [], 0
         for batch in batches:
+            known = np.asarray(batch.column(0).is_valid())
             n, one, two = (np.zeros(len(batch), dtype=np.int64) for _ in range(3))
-            keys, bits = [], []
             for row, s in _sets(batch.column(1), width):
                 n[row] = len(s)
                 one[row] = s.sum(dtype=np.uint64).astype(np.int64)
                 two[row] = mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64)
-                if threshold:
-                    keys.append(part_keys(s, *threshold))
-                    bits.append(packed(s, bitmap_width(len(s))) if len(s) else b"")
-            columns, names = [batch.column(0), pa.array(n), pa.array(one), pa.array(two)], ["__id", "n", "fp1", "fp2"]
-            if threshold:
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], [*names, "keys", "bits"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                if known[row] and (owner := int(one[row])) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(owner)
+                    # A set too small to differ from any that it links with has no use for keys.
+                    for level, need, keys in _keys(s, num, den) if _difference(len(s), len(s) * den // num, num, den) else ():
+                        pending.append((owner, need, level, keys))
+                        size += len(keys)
+                if size >= FLUSH:
+                    found = _packed_posts(pending, buckets)
+                    yield _batch(schema, len(found["bucket"]), **found)
+                    pending, size = [], 0
+            deal = mix(np.asarray(batch.column(0).fill_null(0)).astype(np.uint64) + np.where(known, 0, np.arange(len(batch))).astype(np.uint64)) % np.uint64(buckets)
+            yield _batch(schema, len(batch), bucket=pa.array(deal.astype(np.int32)), __id=batch.column(0), n=pa.array(n), fp1=pa.array(one), fp2=pa.array(two))
+        if pending:
+            found = _packed_posts(pending, buckets)
+            yield _batch(schema, len(found["bucket"]), **found)
+
+    return rows.mapInArrow(run, _POSTS)
+
+
+class Bucket:
+    """Posting lists of one bucket, and which sets meet in its keys.
+
+    Sets that meet in several keys alike are told once, with the number of
+    keys.  A key that very many share is told in portions, so that a bucket
+    never holds more than its share of the keys and a portion.
+    """
+
+    def __init__(self) -> None:
+        self.heads, self.keys, self.size, self.limit, self.crowded = [], [], 0, BUCKET_KEYS, np.zeros(0, dtype=np.uint64)
+
+    def add(self, heads: bytes, keys: bytes) -> list[tuple]:
+        raw = np.zeros((len(keys) // 6, 8), dtype=np.uint8)
+        raw[:, :6] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 6)
+        self.heads.append(np.frombuffer(heads, dtype=_HEAD))
+        self.keys.append(raw.reshape(-1).view("<u8"))
+        self.size += len(raw)
+        return self.told(False) if self.size > self.limit else []
+
+    def told(self, last: bool) -> list[tuple]:
+        """gid, level, weight, low, low_need, owners, needs of each set of sets that meet; before the last only of crowded keys."""
+        if not self.heads:
+            return []
+        heads, keys = np.concatenate(self.heads), np.concatenate(self.keys)
+        at = np.repeat(np.arange(len(heads)), heads["count"])
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(first, len(keys)))
+        # Only keys of two postings or more are looked at.
+        shared = np.repeat(size > 1, size)
+        key, own = keys[shared], at[shared]
+        owner = heads["owner"][own]
+        order = np.lexsort((owner, key))
+        key, own, owner = key[order], own[order], owner[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, own, owner = key[fresh], own[fresh], owner[fresh]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.append(first, len(key)))
+        self.crowded = np.union1d(self.crowded, key[first[size >= CROWD]])
+        crowd = np.isin(key[first], self.crowded)
+        out = [self._row(key[a], 1, own[a : a + n], heads) for a, n in zip(first[crowd], size[crowd]) if n > 1]
+        if not last:
+            # A crowded key keeps one owner, so that later ones meet it.
+            gone = np.isin(keys, self.crowded)
+            kept = np.concatenate([at[~gone], own[first[crowd]]])
+            self.heads, self.keys = [heads[kept]], [np.concatenate([keys[~gone], key[first[crowd]]])]
+            self.heads[0]["count"] = 1
+            self.size = len(kept)
+            self.limit = max(BUCKET_KEYS, 2 * self.size)
+            return out
+        plain = ~crowd & (size > 1)
+        if plain.any():
+            names = mix(np.add.reduceat(mix(owner.view(np.uint64)), first) + size.astype(np.uint64) * np.uint64(64) + heads["level"][own[first]])[plain]
+            _, pick, times = np.unique(names, return_index=True, return_counts=True)
+            starts, sizes = first[plain], size[plain]
+            out += [self._row(names[k], t, own[starts[k] : starts[k] + sizes[k]], heads) for k, t in zip(pick, times)]
+        return out
+
+    @staticmethod
+    def _row(name: np.uint64, weight: int, own: np.ndarray, heads: np.ndarray) -> tuple:
+        h = heads[own]
+        return int(mix(np.array([name])).view(np.int64)[0]), int(h["level"][0]), int(weight), int(h["owner"][0]), int(h["need"][0]), h["owner"], h["need"].astype(np.int32)
+
+
+def _meetings(hashed: DataFrame, buckets: int) -> DataFrame:
+    """The rows with __id as they are, and of each bucket the sets of sets that meet in it."""
+    schema = pa.schema([
+        *((c, pa.int64()) for c in ("__id", "n", "fp1", "fp2", "gid")), ("level", pa.int32()), ("weight", pa.int64()), ("low", pa.int64()), ("low_need", pa.int32()),
+        ("owners", pa.list_(pa.int64())), ("needs", pa.list_(pa.int32())),
+    ])
+
+    def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # A long list of owners goes out in several rows.
+        cut_up = [(*r[:5], r[5][a : a + CROWD], r[6][a : a + CROWD]) for r in rows for a in range(0, len(r[5]), CROWD)]
+        for a in range(0, len(cut_up), 4096):
+            names = ("gid", "level", "weight", "low", "low_need", "owners", "needs")
+            columns = {c: pa.array([r[k] for r in cut_up[a : a + 4096]], schema.field(c).type) for k, c in enumerate(names)}
+            yield _batch(schema, len(columns["gid"]), **columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = Bucket()
+        for batch in batches:
+            is_text = batch.column(5).is_null()
+            texts = batch.filter(is_text)
+            yield _batch(schema, len(texts), **{c: texts.column(k) for k, c in enumerate(texts.schema.names) if c in ("__id", "n", "fp1", "fp2")})
+            posts = batch.filter(pc.invert(is_text))
+            for heads, keys in zip(posts.column(5), posts.column(6)):
+                yield from told(bucket.add(heads.as_py(), keys.as_py()))
+        yield from told(bucket.told(True))
 
-    return rows.mapInArrow(run, "__id long, n long, fp1 long, fp2 long" + (", keys array<long>, bits binary" if threshold else ""))
+    return hashed.repartitionById(buckets, "bucket").mapInArrow(run, _MEETINGS)
 
 
 # -- signature trees ----------------------------------------------------------
@@ -182,7 +346,7 @@ class Traversal:
     """Walks two trees together and keeps the links that join components."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.forest, self.links = num, den, Forest(), []
+        self.num, self.den, self.forest = num, den, Forest()
 
     def _possible(self, a, b, lost: int, low_a: int, high_a: int, low_b: int, high_b: int) -> bool:
         """Could any pair under two bitmaps overlap enough for its sizes?"""
@@ -221,45 +385,10 @@ class Traversal:
                     continue
                 if self._linked(s, t):
                     self.forest.join(x, y)
-                    self.links.append((k, j))
-
-
-class Hopes(Traversal):
-    """Links what sizes and bitmaps alone don't rule out."""
-
-    def _linked(self, s: None, t: None) -> bool:
-        return True
 
-    def over(self, members: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-        """Possible links among (class, size, bitmap) members; bitmaps of neighbouring widths are folded to the smaller."""
-        by_width: dict[int, list[tuple]] = {}
-        for k, n, raw in members:
-            by_width.setdefault(8 * len(raw), []).append((n, k, int.from_bytes(raw, "big"), k, None, k))
-        for width, entries in by_width.items():
-            tree = grow(entries)
-            self.walk(tree, tree)
-            if wider := by_width.get(2 * width):
-                self.walk(tree, grow([(n, k, bits >> width | bits & (1 << width) - 1, k, None, k) for n, k, bits, *_ in wider]))
-        return self.links
-
-
-def _hopes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Possible links a, b within each bucket of at most a block: rows key, __id, n, bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, found = None, [], []
-        for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    found += Hopes(num, den).over(group) if len(group) > 1 else []
-                    key, group = k, []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-            found = []
-        found = Hopes(num, den).over(group) if len(group) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
-    return rows.select("key", "__id", "n", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    def stars(self) -> list[tuple[int, int]]:
+        """Every label that was joined, with the smallest one of its component."""
+        return [(x, self.forest.find(x)) for x in list(self.forest.up)]
 
 
 def _width(sizes: list[int]) -> int:
@@ -269,7 +398,9 @@ def _width(sizes: list[int]) -> int:
 def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links a, b found in each group: rows of `side` 0 with each other, or with those of side 1 if there are any.
 
-    Rows: gid, side, __id, label, elements (the set as bytes).  Groups are at most two blocks.
+    Rows: gid, side, __id, label, elements (the set as bytes).  Groups are at
+    most two blocks.  Links are between labels, each with the smallest label of
+    those the group connects it with.
     """
 
     def links(group: list[tuple]) -> list[tuple[int, int]]:
@@ -283,7 +414,10 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
         width = _width([len(m[1]) for s in sides for m in s])
         walk, left = Traversal(num, den), build(sides[0], width)
         walk.walk(left, build(sides[1], width) if sides[1] else left)
-        return walk.links
+        return walk.stars()
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, found = None, [], []
@@ -294,13 +428,12 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
                     key, group = gid, []
                 group.append(row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                yield batch_of(found)
                 found = []
-        found = links(group) if group else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+        yield batch_of(links(group) if group else [])
 
     ordered = rows.select("gid", "side", "__id", "label", "elements").repartition("gid").sortWithinPartitions("gid")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _if_small(rows: DataFrame) -> DataFrame:
@@ -309,91 +442,118 @@ def _if_small(rows: DataFrame) -> DataFrame:
 
 
 def _elements(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """__id, elements (the set as bytes) of the texts whose id is wanted."""
+    """fp1, elements (the set as bytes) of the texts whose __id is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for _, s in _sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["__id", "elements"]
-            )
-
-    return rows.join(_if_small(wanted), "__id", "left_semi").mapInArrow(run, "__id long, elements binary")
-
-
-def _links(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links a, b between classes (__id, n, keys, bits): a spanning forest of the graph of all links."""
-    posts = classes.select("__id", F.explode("keys").alias("key"))
-    # Buckets with two classes or more, once for each set of members.
-    one = F.xxhash64("__id")
-    buckets = posts.groupBy("key").agg(F.min("__id").alias("low"), F.max("__id").alias("high"), F.bit_xor(one).alias("all")).where("low < high")
-    buckets = cut(buckets.groupBy("low", "high", "all").agg(F.min("key").alias("key")))
-    # Two members are known by now; longer buckets look their members up.
-    is_pair = F.col("all") == F.xxhash64("low").bitwiseXOR(F.xxhash64("high"))
-    two = buckets.where(is_pair).select("key", "low", F.explode(F.array("low", "high")).alias("__id"), F.lit(2).cast("long").alias("m"))
-    wide = cut(posts.join(_if_small(buckets.where(~is_pair).select("key", "low")), "key"))
-    wide = wide.join(wide.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", "low", "__id", "m")
-    # Chance meetings are sifted out by bitmaps; crowded buckets go on as they are.
-    small = two.unionByName(wide.where(F.col("m") <= BLOCK)).join(classes.select("__id", "n", "bits"), "__id")
-    crowded = wide.where(F.col("m") > BLOCK).select(F.col("low").alias("a"), F.col("__id").alias("b"))
-    met = cut(_hopes(small, num, den).unionByName(crowded))
-    # Buckets that share members are searched as one, so that each set is moved once.
-    groups = components(met).select(F.col("node").alias("__id"), F.col("component").alias("key"))
-    members = cut(groups.join(groups.groupBy("key").agg(F.count("*").alias("m")), "key"))
-    sets = cut(_elements(rows, members.select("__id"), width))
-    # Groups beyond a block: salted blocks within size ranges, dealt twice so that the blocks' components join.
+            found = [s for _, s in _sets(batch.column(0), width)]
+            prints = [s.sum(dtype=np.uint64).astype(np.int64) for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["fp1", "elements"])
+
+    return rows.join(_if_small(wanted), "__id", "left_semi").select("text").mapInArrow(run, "fp1 long, elements binary")
+
+
+def _near_centres(meetings: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links among sets that share enough keys with one and the same set.
+
+    In each key the first owner is the centre.  A set that shares with a centre
+    as many keys as linked sets do, joins its group; large groups are dealt out
+    in blocks, each with the centre.
+    """
+    each = meetings.select("low", "low_need", "level", "weight", F.explode(F.arrays_zip("owners", "needs")).alias("o"))
+    each = each.select("low", "low_need", "level", "weight", F.col("o.owners").alias("fp1"), F.col("o.needs").alias("need")).where("fp1 != low")
+    sums = each.groupBy("low", "fp1", "level").agg(F.sum("weight").alias("weight"), F.max(F.greatest("need", "low_need")).alias("need"))
+    spokes = cut(sums.where("weight >= need").select("low", "fp1").distinct())
+    counts = spokes.groupBy("low").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("salts"))
+    spokes = spokes.join(counts, "low").select("low", "fp1", F.xxhash64("low", F.pmod(F.xxhash64("fp1"), "salts")).alias("gid"))
+    members = cut(spokes.select("gid", "fp1").unionByName(spokes.select("gid", F.col("low").alias("fp1"))).distinct())
+    wanted = cut(classes.join(members.select("fp1").distinct(), "fp1", "left_semi").select("fp1", "class_id"))
+    sets = _elements(rows, wanted.select(F.col("class_id").alias("__id")), width)
+    found = members.join(wanted, "fp1").join(sets, "fp1")
+    return _join_groups(found.select("gid", F.lit(0).alias("side"), F.col("class_id").alias("__id"), F.col("class_id").alias("label"), "elements"), num, den)
+
+
+def _open_meetings(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
+    """gid, fp1, class_id, n, label of the sets in meetings that may still join components.
+
+    Sets of different components that link share `need` keys or more, all of
+    them open; so a set with fewer open keys has no such link and leaves.
+    """
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        ends = rows.groupBy("gid").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other")
+        return rows.join(ends.select("gid"), "gid", "left_semi")
+
+    each = meetings.select("gid", "level", "weight", F.explode(F.arrays_zip("owners", "needs")).alias("o"))
+    each = each.select("gid", "level", "weight", F.col("o.owners").alias("fp1"), F.col("o.needs").alias("need"))
+    left = cut(still_open(each.join(labelled, "fp1")))
+    for _ in range(2):
+        enough = left.groupBy("class_id", "level").agg(F.sum("weight").alias("all"), F.max("need").alias("least")).where("all >= least")
+        left = cut(still_open(left.join(enough.select("class_id", "level"), ["class_id", "level"], "left_semi")))
+    return left.select("gid", "fp1", "class_id", "n", "label").distinct()
+
+
+def _across(left: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between components among the sets of each open meeting."""
+    left = cut(left)
+    sets = _elements(rows, left.select(F.col("class_id").alias("__id")).distinct(), width)
+    columns = ["gid", "side", F.col("class_id").alias("__id"), "label", "elements"]
+    sized = left.join(left.groupBy("gid").agg(F.count("*").alias("m")), "gid")
+    inside = sized.where(F.col("m") <= BLOCK).withColumn("side", F.lit(0)).drop("m")
+    large = cut(sized.where(F.col("m") > BLOCK).drop("m"))
+    if large.isEmpty():
+        return _join_groups(inside.join(sets, "fp1").select(*columns), num, den)
+    # Sets outside a large meeting's main component meet all of its blocks in reach.
     step = log(den / num) if den > num else log(2)
-    has_large = not members.where(F.col("m") > BLOCK).isEmpty()
-    blocked = members.where(F.col("m") <= BLOCK).select("key", "__id", F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("salt"), F.lit(0).alias("deal"))
-    if has_large:
-        large = members.where(F.col("m") > BLOCK).join(classes.select("__id", "n"), "__id").withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
-        large = large.select("key", "__id", "deal", F.floor(F.log("n") / step + F.col("deal") / 2).alias("range"))
-        counts = large.groupBy("key", "deal", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-        large = cut(large.join(counts, ["key", "deal", "range"]).withColumn("salt", F.pmod(F.xxhash64("__id", "key", "deal"), F.col("salts"))).drop("salts"))
-        blocked = blocked.unionByName(large)
-        large = large.where("deal = 0").drop("deal")
-    inside = blocked.select(F.xxhash64("key", "deal", "range", "salt").alias("gid"), F.lit(0).alias("side"), "__id", F.col("__id").alias("label"))
-    found = cut(_join_groups(inside.join(sets, "__id"), num, den))
-    if not has_large:
-        return found
-    # Classes outside a large group's main component meet all of its blocks in reach.
-    known = components(found)
-    labelled = large.join(known.withColumnRenamed("node", "__id"), "__id", "left").withColumn("label", F.coalesce("component", "__id")).drop("component")
-    labelled = cut(labelled)
-    main = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    outside = labelled.join(main, "key").where("label != main")
-    counts = outside.groupBy("key", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    outside = outside.join(counts, ["key", "range"]).withColumn("part", F.pmod(F.xxhash64("__id", "key", F.lit(2)), F.col("salts")))
-    asking = outside.groupBy("key", "range", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    large = large.withColumn("range", F.floor(F.log("n") / step))
+    counts = large.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    blocked = cut(large.join(counts, ["gid", "range"]).withColumn("salt", F.pmod(F.xxhash64("fp1", "gid"), "salts")).drop("salts"))
+    main = blocked.groupBy("gid", "label").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    outside = blocked.join(main, "gid").where("label != main").drop("main", "salt")
+    counts = outside.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    outside = cut(outside.join(counts, ["gid", "range"]).withColumn("part", F.pmod(F.xxhash64("fp1", "gid", F.lit(2)), "salts")).drop("salts"))
+    asking = outside.groupBy("gid", "range", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     asking = asking.withColumn("to_range", F.explode(F.array(*[F.col("range") + k for k in (-1, 0, 1)])))
-    blocks = labelled.groupBy("key", "range", "salt").agg(F.min("label").alias("b_low"), F.max("label").alias("b_high")).withColumnRenamed("range", "to_range")
-    pairs = asking.join(blocks, ["key", "to_range"]).where("not (low = high and b_low = b_high and low = b_low)")
-    pairs = pairs.select("key", "range", "part", "to_range", "salt", F.xxhash64("key", "range", "part", "to_range", "salt").alias("gid"))
-    columns = ["gid", "side", "__id", "label"]
-    asked = outside.join(pairs, ["key", "range", "part"]).withColumn("side", F.lit(0)).select(*columns)
-    told = labelled.withColumnRenamed("range", "to_range").join(pairs, ["key", "to_range", "salt"]).withColumn("side", F.lit(1)).select(*columns)
-    return found.unionByName(cut(_join_groups(asked.unionByName(told).join(sets, "__id"), num, den)))
+    blocks = blocked.groupBy("gid", "range", "salt").agg(F.min("label").alias("b_low"), F.max("label").alias("b_high")).withColumnRenamed("range", "to_range")
+    pairs = asking.join(blocks, ["gid", "to_range"]).where("not (low = high and b_low = b_high and low = b_low)")
+    pairs = cut(pairs.select("gid", "range", "part", "to_range", "salt", F.xxhash64("gid", "range", "part", "to_range", "salt").alias("pair")))
+    asked = outside.join(pairs, ["gid", "range", "part"]).withColumn("side", F.lit(0))
+    told = blocked.withColumnRenamed("range", "to_range").join(pairs, ["gid", "to_range", "salt"]).withColumn("side", F.lit(1))
+    both = asked.select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label").unionByName(told.select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label"))
+    return _join_groups(inside.select("gid", "side", "fp1", "class_id", "label").unionByName(both).join(sets, "fp1").select(*columns), num, den)
 
 
 def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, n_shingles, component_id.
 
     Two documents link when the intersection of their shingle sets is at least
-    threshold (numerator, denominator) of the union; component_id is the
-    smallest id reachable by links.
+    threshold (numerator, denominator; above one half) of the union;
+    component_id is the smallest id reachable by links.
     """
     num, den = threshold
+    if 2 * num <= den or num > den:
+        raise ValueError("the threshold must be above one half and at most one")
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    summaries = cut(_summaries(rows, width))
-    some = summaries.where("n > 0 and __id is not null")
-    keyed = _summaries(rows, width, threshold).where("n > 0 and __id is not null")
-    classes = cut(keyed.groupBy("fp1", "fp2", "n").agg(F.min("__id").alias("class_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    found = _links(rows, classes.select(F.col("class_id").alias("__id"), "n", "keys", "bits"), width, num, den)
-    # Members of a class are linked with its representative; rows that share an id with each other by that id.
-    same = some.join(classes.select("fp1", "fp2", "n", "class_id"), ["fp1", "fp2", "n"]).select(F.col("__id").alias("a"), F.col("class_id").alias("b"))
-    labels = components(found.unionByName(same.where("a != b")))
-    return (
-        summaries.select("__id", "n")
-        .join(labels, F.col("__id") == F.col("node"), "left")
-        .select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "__id").alias("component_id"))
-    )
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = cut(_meetings(_hashed(rows, width, num, den, buckets), buckets))
+    texts, meetings = read.where("gid is null").select("__id", "n", "fp1", "fp2"), read.where("gid is not null").drop("__id", "n", "fp1", "fp2")
+    # Documents with the same set are one class, represented by its smallest id.
+    some = texts.where("n > 0 and __id is not null")
+    classes = cut(some.groupBy("fp1", "fp2", "n").agg(F.min("__id").alias("class_id")))
+    near = components(_near_centres(meetings, classes, rows, width, num, den))
+    labelled = classes.join(near, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class_id"))
+    labelled = cut(labelled.select("fp1", "fp2", "n", "class_id", "label"))
+    far = _across(_open_meetings(meetings, labelled.select("fp1", "class_id", "n", "label")), rows, width, num, den)
+    # Rows that share an id connect their classes.
+    twins = some.groupBy("__id").agg(F.min(F.struct("fp1", "fp2")).alias("one"), F.max(F.struct("fp1", "fp2")).alias("other")).where("one != other").select("__id")
+    twins = some.join(twins, "__id").join(labelled, ["fp1", "fp2", "n"]).select("__id", "label")
+    twins = twins.join(twins.groupBy("__id").agg(F.min("label").alias("b")), "__id").select(F.col("label").alias("a"), "b")
+    more = cut(far.unionByName(twins).where("a != b"))
+    if not more.isEmpty():
+        merged = components(more)
+        labelled = labelled.join(merged, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label"))
+    found = texts.join(labelled.select("fp1", "fp2", "n", "label"), ["fp1", "fp2", "n"], "left")
+    component = F.when(F.col("__id").isNotNull(), F.coalesce("label", "__id"))
+    return found.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
