@@ -15,7 +15,7 @@ Sets that share with the first owner of their keys as many keys as linked sets
 must, are searched first, as groups around that centre.  Then a key is open only
 if its owners are of different components.  A set that links with another
 component has as many open keys as linked sets must share; sets with fewer
-leave, and what is left, mostly nothing, is searched key by key.
+leave.  Those left whose open keys have a set in common are searched as one.
 
 A group is searched by a signature tree: a leaf entry is a set's bitmap of
 hashed shingles with its size, a node the bitwise OR of its entries' bitmaps
@@ -27,8 +27,8 @@ join components are wanted, so thousands of near copies give one spanning tree,
 not its square.
 
 Large groups are dealt out in blocks, so no task holds more than two blocks.
-Around a centre each block has the centre; of an open key, the sets outside its
-main component meet all blocks within reach of their sizes.
+Around a centre each block has the centre; in an open group, the sets outside
+its main component meet all blocks within reach of their sizes.
 
 Defined cases: null and empty texts and texts without a word have no shingles
 and no links; fewer words than a shingle's width make one shingle; texts are
@@ -473,11 +473,12 @@ def _near_centres(meetings: DataFrame, classes: DataFrame, rows: DataFrame, widt
     return _join_groups(found.select("gid", F.lit(0).alias("side"), F.col("class_id").alias("__id"), F.col("class_id").alias("label"), "elements"), num, den)
 
 
-def _open_meetings(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
-    """gid, fp1, class_id, n, label of the sets in meetings that may still join components.
+def _open_groups(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
+    """gid, fp1, class_id, n, label of the sets that may still join components, grouped by the keys they share.
 
     Sets of different components that link share `need` keys or more, all of
     them open; so a set with fewer open keys has no such link and leaves.
+    Keys that have a set in common are one group, so that each set is moved once.
     """
 
     def still_open(rows: DataFrame) -> DataFrame:
@@ -490,11 +491,13 @@ def _open_meetings(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
     for _ in range(2):
         enough = left.groupBy("class_id", "level").agg(F.sum("weight").alias("all"), F.max("need").alias("least")).where("all >= least")
         left = cut(still_open(left.join(enough.select("class_id", "level"), ["class_id", "level"], "left_semi")))
-    return left.select("gid", "fp1", "class_id", "n", "label").distinct()
+    sets = left.select("fp1", "class_id", "n", "label").distinct()
+    groups = components(left.join(left.groupBy("gid").agg(F.min("class_id").alias("a")), "gid").select("a", F.col("class_id").alias("b")))
+    return sets.join(groups, F.col("class_id") == F.col("node")).select(F.col("component").alias("gid"), "fp1", "class_id", "n", "label")
 
 
 def _across(left: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between components among the sets of each open meeting."""
+    """Links between components among the sets of each open group."""
     left = cut(left)
     sets = _elements(rows, left.select(F.col("class_id").alias("__id")).distinct(), width)
     columns = ["gid", "side", F.col("class_id").alias("__id"), "label", "elements"]
@@ -503,7 +506,7 @@ def _across(left: DataFrame, rows: DataFrame, width: int, num: int, den: int) ->
     large = cut(sized.where(F.col("m") > BLOCK).drop("m"))
     if large.isEmpty():
         return _join_groups(inside.join(sets, "fp1").select(*columns), num, den)
-    # Sets outside a large meeting's main component meet all of its blocks in reach.
+    # Sets outside a large group's main component meet all of its blocks in reach.
     step = log(den / num) if den > num else log(2)
     large = large.withColumn("range", F.floor(F.log("n") / step))
     counts = large.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
@@ -545,7 +548,7 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] =
     near = components(_near_centres(meetings, classes, rows, width, num, den))
     labelled = classes.join(near, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class_id"))
     labelled = cut(labelled.select("fp1", "fp2", "n", "class_id", "label"))
-    far = _across(_open_meetings(meetings, labelled.select("fp1", "class_id", "n", "label")), rows, width, num, den)
+    far = _across(_open_groups(meetings, labelled.select("fp1", "class_id", "n", "label")), rows, width, num, den)
     # Rows that share an id connect their classes.
     twins = some.groupBy("__id").agg(F.min(F.struct("fp1", "fp2")).alias("one"), F.max(F.struct("fp1", "fp2")).alias("other")).where("one != other").select("__id")
     twins = some.join(twins, "__id").join(labelled, ["fp1", "fp2", "n"]).select("__id", "label")
