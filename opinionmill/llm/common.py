@@ -15,14 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that names none (a local test) gets a temporary one.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
-    context = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; only a local session may leave it unset and gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+#: Rows that `if_small` broadcasts at most, some megabytes of ids and hashes.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(rows: DataFrame) -> DataFrame:
+    """For a join: few rows, counted first, are broadcast, so that the other side isn't moved; else both are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> F.Column:

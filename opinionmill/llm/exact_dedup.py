@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, if_small
 from .textbatch import slices
 
-#: Bytes of a chunk.
-CHUNK_BYTES = 1 << 16
+#: Bytes of a chunk, rows of a group that are compared with one copy of its head.
+CHUNK_BYTES, SALT_ROWS = 1 << 16, 2000
 #: Moduli and evaluation points of the two lanes.
 LANES = ((2147483647, 1103515245), (2147483629, 69069069))
 
@@ -126,28 +126,32 @@ def exact_duplicates(
     text column before anything else.
     """
     key = ["lane_0", "lane_1", "n_bytes"]
-    prints = cut(fingerprints(df, id_col, text_col, normalise, lanes))
-    groups = prints.groupBy(*key).agg(F.max(F.struct("__id", "sha")).alias("head"), F.count("*").alias("n"))
-    shared = groups.where("n > 1").select(*key, F.col("head.__id").alias("head_id"), F.col("head.sha").alias("head_sha"))
-    # Chunkwise comparison of every text in a shared group with the group's head.
-    members = prints.select("__id", "sha", *key).distinct().join(shared, key)
-    texts = _rows(df, id_col, text_col, normalise).drop("n_bytes").dropDuplicates(["__id", "sha"])
-    chunks = _chunks(members.join(texts, ["__id", "sha"]))
-    is_head = F.col("__id").eqNullSafe(F.col("head_id")) & (F.col("sha") == F.col("head_sha"))
-    heads = chunks.where(is_head).select(*key, "chunk", F.col("bytes").alias("head_bytes"))
-    differing = (
-        chunks.where(~is_head)
-        .join(heads, [*key, "chunk"])
-        .where(F.col("bytes") != F.col("head_bytes"))
-        .select("__id", "sha", *key)
-        .distinct()
-    )
-    # Unequal despite equal fingerprints: grouped by content.
-    bad = differing.join(texts, ["__id", "sha"])
-    own = bad.groupBy(*key, "raw").agg(F.max(F.struct("__id", "sha")).alias("variant"))
-    bad = bad.join(own, [*key, "raw"]).select("__id", "sha", "variant")
-    prints = prints.join(bad, ["__id", "sha"], "left").withColumn("variant", F.coalesce(F.col("variant.sha"), F.lit("")))
-    sizes = prints.groupBy(*key, "variant").agg(F.max("__id").alias("keep_id"), F.count("*").alias("group_size"))
-    return prints.join(sizes, [*key, "variant"]).select(
-        F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+    # As a struct, a null id equals a null id in joins.
+    prints = cut(fingerprints(df, id_col, text_col, normalise, lanes).withColumn("__key", F.struct("__id")))
+    groups = prints.groupBy(*key).agg(F.max(F.struct("__key", "sha")).alias("head"), F.max("__id").alias("keep_id"), F.count("*").alias("n"))
+    shared = cut(groups.where("n > 1"))
+    # Chunkwise comparison of every text in a shared group with the group's head; other texts aren't moved.
+    heads = shared.select(*key, "head", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
+    members = cut(prints.select("__key", "sha", *key).join(if_small(heads), key).distinct())
+    texts = _rows(df, id_col, text_col, normalise).drop("n_bytes").withColumn("__key", F.struct("__id")).join(if_small(members), ["__key", "sha"])
+    chunks = _chunks(texts).withColumn("is_head", (F.col("__key") == F.col("head.__key")) & (F.col("sha") == F.col("head.sha")))
+    # A head goes to every salt of its group.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    head_chunks = chunks.where("is_head").select(*key, "chunk", F.col("bytes").alias("head_bytes"), every)
+    rest = chunks.where("not is_head").withColumn("salt", F.pmod(F.xxhash64("__key", "sha"), "salts"))
+    same = rest.join(head_chunks, [*key, "chunk", "salt"]).where(F.col("bytes") != F.col("head_bytes"))
+    differing = cut(same.select("__key", "sha").distinct())
+    sizes, names = shared.select(*key, "keep_id", "n"), key
+    if not differing.isEmpty():
+        # Unequal despite equal fingerprints: grouped by content.
+        bad = texts.join(if_small(differing), ["__key", "sha"], "left_semi").select("__key", "sha", *key, "raw").distinct()
+        own = bad.groupBy(*key, "raw").agg(F.max(F.struct("__key", "sha"))["sha"].alias("variant"))
+        variants = cut(bad.join(own, [*key, "raw"]).select("__key", "sha", "variant"))
+        prints = cut(prints.join(variants, ["__key", "sha"], "left").withColumn("variant", F.coalesce("variant", F.lit(""))))
+        names = [*key, "variant"]
+        sizes = cut(prints.groupBy(*names).agg(F.max("__id").alias("keep_id"), F.count("*").alias("n")).where("n > 1"))
+    found = prints.join(if_small(sizes), names, "left")
+    keep = F.when(F.col("n").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
+    return found.select(
+        F.col("__id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("__id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256")
     )

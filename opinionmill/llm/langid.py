@@ -9,8 +9,10 @@ by two matrix products, n-gram presence times landmarks, then kernel values
 times coefficients, in one narrow pass.
 
 Fitting uses at most `train_rows` documents with a known language, picked by a
-hash of their id language by language, and `landmarks` of them for each.  More
-than 256 languages are an error.  Language, source and id are no features.
+hash of their id language by language, and `landmarks` of them for each, fewer
+if the languages are so many that they would exceed `MAX_LANDMARKS`, but one
+at least.  More languages than `train_rows` are an error.  Language, source and
+id are no features.
 
 Defined cases: null texts and texts without a letter get `und` and score 0;
 long texts are read whole, in windows; with no training text everything is
@@ -34,8 +36,8 @@ from .textbatch import slices
 
 ORDERS = (1, 2, 3, 4)
 BITS = 14
-#: Texts that the model is fitted on, at most, landmarks for each language, and languages at most.
-TRAIN_ROWS, LANDMARKS, MAX_LANGUAGES = 4_000, 16, 256
+#: Texts that the model is fitted on, at most, landmarks for each language, and landmarks that all languages share.
+TRAIN_ROWS, LANDMARKS, MAX_LANDMARKS = 4_000, 16, 4096
 _BATCH = 64
 
 
@@ -79,13 +81,13 @@ def fit(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on documents whose id is in `languages` (id_col, label: a language)."""
     once = languages.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("label").alias("label"))
     sample = labelled_sample(docs, once, train_rows, id_col, text_col).where(F.col("text").rlike(r"\p{L}"))
-    names = sorted(r["label"] for r in sample.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # No more languages than sampled rows.
+    names = sorted(r["label"] for r in sample.select("label").distinct().collect())
     if not names:
         return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
     order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "text"))
-    marks = sorted(sample.withColumn("n", order).where(F.col("n") <= landmarks).select("label", "n", "text").collect())
+    each = max(1, min(landmarks, MAX_LANDMARKS // len(names)))
+    marks = sorted(sample.withColumn("n", order).where(F.col("n") <= each).select("label", "n", "text").collect())
     column = pa.array([r["text"] for r in marks], pa.large_string())
     z = np.concatenate([presence(data, offsets) for _, _, data, offsets in _pieces(column)])
     shared = sample.sparkSession.sparkContext.broadcast(z)

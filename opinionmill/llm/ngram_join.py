@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import cut
+from .common import cut, if_small
 from .components import components
 from .textbatch import mix, shingle_hashes, slices, word_hashes
 
@@ -58,8 +58,6 @@ from .textbatch import mix, shingle_hashes, slices, word_hashes
 BLOCK, FAN = 128, 8
 #: Keys that a task posts at once, copies it remembers, keys that a bucket sifts at once, owners that make a key crowded.
 FLUSH, SEEN, BUCKET_KEYS, CROWD = 1 << 20, 1 << 18, 1 << 23, 4096
-#: Ids or keys that are broadcast at most, some 2 MB.
-BROADCAST_ROWS = 100_000
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -436,11 +434,6 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _if_small(rows: DataFrame) -> DataFrame:
-    """For a join: few rows, counted first, are broadcast, so that the other side isn't moved; else both are shuffled."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _elements(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp1, elements (the set as bytes) of the texts whose __id is wanted."""
 
@@ -450,7 +443,7 @@ def _elements(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             prints = [s.sum(dtype=np.uint64).astype(np.int64) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["fp1", "elements"])
 
-    return rows.join(_if_small(wanted), "__id", "left_semi").select("text").mapInArrow(run, "fp1 long, elements binary")
+    return rows.join(if_small(wanted), "__id", "left_semi").select("text").mapInArrow(run, "fp1 long, elements binary")
 
 
 def _near_centres(meetings: DataFrame, classes: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .textbatch import LOWER, SPACE, mix, span_hashes
+from .textbatch import LOWER, SPACE, long_span_hashes, mix
 
 #: A single text beyond this many bytes is worked on in windows.
 WINDOW_BYTES = 1 << 22
@@ -71,7 +71,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, stops = starts[keep], stops[keep]
     if not len(starts):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.searchsorted(offsets, starts, side="right") - 1, span_hashes(data, starts, stops)
+    return np.searchsorted(offsets, starts, side="right") - 1, long_span_hashes(data, starts, stops)
 
 
 #: Stand-ins for the second word of a pair that repeats its first, next to it or one further on.

@@ -11,7 +11,7 @@ Training uses at most `train_rows` labelled documents, picked by a hash of
 their id class by class.  Labels, language, source and id are no features.
 
 Defined cases: null text is empty; an empty text scores by the intercept
-alone; long texts are read whole; a document labelled twice counts as low
+alone; long texts are read whole, a word of any length is one token; a document labelled twice counts as low
 quality if any label says so; with labels of one class only, every score is
 that class's share, 0.5 with no labels at all; repeated rows are scored each.
 """
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample
 from .linear import sigmoid
-from .ngrams import WINDOW_BYTES, word_ngrams
-from .textbatch import SPACE, slices
+from .ngrams import word_ngrams
+from .textbatch import slices
 
 BITS = 18
 #: Labelled rows that the classifier is fitted on, at most.
@@ -64,24 +64,6 @@ class Leader:
         self.n[at] += g * g
 
 
-def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text cut between words; a word as long as a window is cut as it comes."""
-    at = 0
-    while len(data) - at > WINDOW_BYTES:
-        gaps = np.flatnonzero(SPACE[data[at + WINDOW_BYTES // 2 : at + WINDOW_BYTES]])
-        end = at + WINDOW_BYTES // 2 + int(gaps[-1]) + 1 if len(gaps) else at + WINDOW_BYTES
-        yield data[at:end]
-        at = end
-    yield data[at:]
-
-
-def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(offsets) != 2 or len(data) <= WINDOW_BYTES:
-        return word_ngrams(data, offsets, BITS)
-    found = [word_ngrams(p, np.array([0, len(p)]), BITS) for p in _parts(data)]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
 def _features(sample: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Label, buckets and rates of each sampled row."""
 
@@ -91,7 +73,7 @@ def _features(sample: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
             for _, _, data, offsets in slices(batch.column(0)):
                 for k in range(len(offsets) - 1):
                     text = data[offsets[k] : offsets[k + 1]]
-                    _, buckets = _ngrams(text, np.array([0, len(text)]))
+                    _, buckets = word_ngrams(text, np.array([0, len(text)]), BITS)
                     at, n = np.unique(buckets, return_counts=True)
                     out.append((at.astype("<u4").tobytes(), (RATE * n / max(1, len(buckets))).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -136,7 +118,7 @@ def scores(column: pa.Array, weights: np.ndarray, intercept: float) -> np.ndarra
     """Scores of an Arrow column of texts."""
     out = np.full(len(column), intercept)
     for first, stop, data, offsets in slices(column):
-        at, buckets = _ngrams(data, offsets)
+        at, buckets = word_ngrams(data, offsets, BITS)
         n = stop - first
         total = np.bincount(at, minlength=n)
         out[first:stop] += RATE * np.bincount(at, weights[buckets], minlength=n) / np.maximum(total, 1)

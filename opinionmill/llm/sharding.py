@@ -12,8 +12,9 @@ Keys that hold many rows can be spread: `spread` sends a key's rows to that
 many slots by a hash of `spread_by`.
 
 Defined cases: a null key is hashed as a text of its own; repeated rows go to
-the same shard; an empty table gives an empty result; clashing column names
-are avoided by the caller's choice of `slot_col` and `shard_col`.
+the same shard; an empty table gives an empty result; a table that has a
+column named like `slot_col` or `shard_col` already is an error, whatever the
+case of its letters.
 """
 
 from __future__ import annotations
@@ -81,6 +82,8 @@ def assign(
     shard_col: str = "shard",
 ) -> DataFrame:
     """Adds the slot and the shard index of every row."""
+    if clash := {c.lower() for c in df.columns} & {slot_col.lower(), shard_col.lower()}:
+        raise ValueError(f"the table has {', '.join(sorted(clash))} already; name other columns")
     key = F.col(key_col).cast("string")
     if spread > 1:
         key = F.concat_ws("#", F.coalesce(key, F.lit("\u0000null")), F.pmod(F.xxhash64(spread_by or key_col), F.lit(spread)).cast("string"))

@@ -104,17 +104,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Row index and hash of every word; long buffers are cut between words."""
     rows, starts, stops = words(data, offsets)
-    if lower:
-        data = LOWER[data]
+    return rows, long_span_hashes(LOWER[data] if lower else data, starts, stops)
+
+
+def long_span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Span hashes, of a long buffer piece by piece; pieces end between spans."""
     if len(data) <= 4 * SLICE_BYTES:
-        return rows, span_hashes(data, starts, stops) if len(starts) else np.zeros(0, dtype=np.uint64)
+        return span_hashes(data, starts, stops) if len(starts) else np.zeros(0, dtype=np.uint64)
     parts, at = [], 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(stops, starts[at] + 2 * SLICE_BYTES)))
         base = starts[at]
         parts.append(span_hashes(data[base : stops[end - 1]], starts[at:end] - base, stops[at:end] - base))
         at = end
-    return rows, np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def shingle_hashes(rows: np.ndarray, hashes: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
