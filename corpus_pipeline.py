@@ -8,7 +8,6 @@ Classifiers learn from the labels of the documents that reach their stage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionmill.llm import exact_dedup, ngram_join, packing, quality, toxicity
-from opinionmill.llm.common import held_out, table
+from opinionmill.llm.common import checkpoint_folder, cut, held_out, if_small, table
 
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
 
@@ -37,12 +36,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the largest doc_id."""
-    stay = exact_dedup.exact_duplicates(docs).where("kept")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    keyed = docs.withColumns({"__key": key, "__sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
-    # Join and deduplication have the same key, so texts are moved once.
-    found = keyed.join(stay.select(key, F.col("text_sha256").alias("__sha")).distinct(), ["__key", "__sha"], "left_semi")
-    return found.dropDuplicates(["__key", "__sha"]).select(*docs.columns)
+    row = [F.struct("doc_id").alias("__key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("__sha")]
+    decided = exact_dedup.exact_duplicates(docs).select(F.struct("doc_id").alias("__key"), F.col("text_sha256").alias("__sha"), "kept")
+    counts = cut(decided.groupBy("__key", "__sha").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    # Only what goes, or is a row of its own twice, is looked up; the other texts stay where they are.
+    keyed = docs.select("*", *row)
+    single = keyed.join(if_small(counts.select("__key", "__sha")), ["__key", "__sha"], "left_anti")
+    twice = keyed.join(if_small(counts.where("kept").select("__key", "__sha")), ["__key", "__sha"], "left_semi").dropDuplicates(["__key", "__sha"])
+    return single.unionByName(twice).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what lies between them goes to the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-pipeline-")
-    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    base = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
