@@ -46,6 +46,10 @@ def held_out(id_col: str, modulus: int, remainder: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+#: Partitions of a sample, whose rows are bounded.
+SAMPLE_PARTS = 24
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """At most `rows` labelled texts, picked by a hash of their id label by label: columns text, label.
 
@@ -67,4 +71,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str =
     rank = F.row_number().over(Window.partitionBy("label").orderBy("__hash", "__id"))
     picked = near.withColumn("__rank", rank).orderBy("__rank", "__hash", "__id", "label").limit(rows).select("__id", "label")
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(picked), "__id").select("text", "label"))
+    return cut(texts.join(F.broadcast(picked), "__id").select("text", "label").repartition(SAMPLE_PARTS))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import cut, labelled_sample
 from .linear import sigmoid
 from .ngrams import word_ngrams
 from .textbatch import slices
@@ -80,9 +80,9 @@ def _features(sample: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
                 [batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "at", "rate"]
             )
 
-    # Rows arrive in no fixed order, so they are put into the order of their content.
-    found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary").collect()
-    found = sorted(found, key=lambda r: (zlib.crc32(r["at"]), r["at"], r["label"]))
+    # The sample's partitions reach the driver one after the other; the rows are put into the order of their content.
+    rows = cut(sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary"))
+    found = sorted(rows.toLocalIterator(), key=lambda r: (zlib.crc32(r["at"]), r["at"], r["label"]))
     return [(float(r["label"] > 0), np.frombuffer(r["at"], dtype="<u4"), np.frombuffer(r["rate"], dtype="<f4")) for r in found]
 
 

@@ -8,7 +8,8 @@ each bucket, so a text's score is the mean weight of its n-grams, read in one
 narrow pass without a shuffle.
 
 Training uses at most `train_rows` labelled documents, picked by a hash of
-their id class by class.  Labels, language, source and id are no features.
+their id class by class, and weighs the KEPT_BUCKETS buckets with the most
+evidence.  Labels, language, source and id are no features.
 
 Defined cases: null text is empty; an empty text scores by the intercept
 alone; long texts are read whole, in windows; a document labelled twice counts
@@ -23,14 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
-from .linear import fit_logistic, sigmoid
+from .common import cut, labelled_sample
+from .linear import Counts, fit_logistic, sigmoid
 from .ngrams import byte_ngrams, fold, row_sums, windows
-from .textbatch import buffers, slices
+from .textbatch import slices
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -72,15 +72,15 @@ def _presence(sample: DataFrame) -> np.ndarray:
     return out
 
 
-def _features(sample: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rates of the buckets with a scale, times it, as rows, columns among them and values, and the labels; at most TRAIN_ROWS rows.
+def _features(sample: DataFrame, scale: np.ndarray) -> tuple[Counts, np.ndarray]:
+    """Counts of the buckets with a scale, as rates times the scale, and the labels; at most TRAIN_ROWS rows.
 
-    Columns and counts travel in two bytes each; a count beyond them is several entries.
+    The sample's partitions reach the driver one after the other, columns and
+    counts in two bytes each; a count beyond them is several entries.
     """
     place = np.cumsum(scale != 0) - 1
     place[scale == 0] = -1
-    used = scale[scale != 0].astype(np.float32)
-    narrow = "<u2" if len(used) <= 1 << 16 else "<u4"
+    narrow = "<u2" if np.count_nonzero(scale) <= 1 << 16 else "<u4"
     kept = sample.sparkSession.sparkContext.broadcast(place.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,23 +99,16 @@ def _features(sample: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, np.ndar
             kinds = (pa.binary(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds))], names=["label", "at", "n", "total"])
 
-    found = sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, n binary, total long").toArrow()
-    sizes = pc.divide(pc.binary_length(found["n"]), 2).to_numpy()
-    rows = np.repeat(np.arange(len(sizes), dtype="<u2" if len(sizes) <= 1 << 16 else np.int32), sizes)
-    columns, values, at = np.empty(len(rows), dtype=narrow), np.empty(len(rows), dtype=np.float32), 0
-    for batch in found.to_batches():
-        cells = np.frombuffer(_content(batch["at"]), dtype=narrow)
-        part = slice(at, at + len(cells))
-        columns[part] = cells
-        total = np.repeat(batch["total"].to_numpy(), pc.divide(pc.binary_length(batch["n"]), 2).to_numpy())
-        values[part] = np.frombuffer(_content(batch["n"]), dtype="<u2") / total * used[cells]
-        at += len(cells)
-    return rows, columns, values, (found["label"].to_numpy() > 0).astype(float)
-
-
-def _content(column: pa.Array) -> np.ndarray:
-    raw, ends = buffers(column)
-    return raw[ends[0] : ends[-1]]
+    rows = cut(sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, n binary, total long"))
+    columns, counts, sizes, totals, labels = bytearray(), bytearray(), [], [], []
+    for row in rows.toLocalIterator():
+        columns += row["at"]
+        counts += row["n"]
+        sizes.append(len(row["n"]) // 2)
+        totals.append(row["total"])
+        labels.append(row["label"] > 0)
+    matrix = Counts(np.array(sizes, dtype=np.int64), np.frombuffer(columns, dtype=narrow), np.frombuffer(counts, dtype="<u2"), 1 / np.array(totals, dtype=float), scale[scale != 0])
+    return matrix, np.array(labels, dtype=float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, l2: float = 1e-3) -> Model:
@@ -135,10 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pooled = (present.sum(axis=0) + 1) / (n_other + n_toxic + 2)
     evidence = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / n_other + 1 / n_toxic))
     ratio[np.argsort(-evidence, kind="stable")[KEPT_BUCKETS:]] = 0
-    rows, columns, values, y = _features(sample, 100 * ratio)
+    matrix, y = _features(sample, 100 * ratio)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     used = np.flatnonzero(ratio)
-    w, intercept = fit_logistic(rows, columns, values, y, balance, len(used), l2 / len(y))
+    w, intercept = fit_logistic(matrix, y, balance, l2 / len(y))
     weights[used] = w * ratio[used] * 100
     return Model(weights.astype(np.float32), intercept)
 
