@@ -36,7 +36,7 @@ from .textbatch import slices
 #: Fixed value: the byte-level vocabulary's word pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a task's memo keeps before it starts afresh, and the longest word kept.
-MEMO_WORDS, MEMO_CHARS = 600_000, 64
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 #: Characters of one stretch of a long text.
 STRETCH = 1 << 19
 _ODD_SPACE = re.compile(r"\s\s|^ | $")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -41,7 +41,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
+        size = max(n, min(2 * len(_powers), SLICE_BYTES + 1), 1 << 16)
         factors = np.full(size, np.uint64(_BASE))
         factors[0] = 1
         _powers = np.cumprod(factors, dtype=np.uint64)
@@ -109,11 +109,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 
 def long_span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Span hashes, of a long buffer piece by piece; pieces end between spans."""
-    if len(data) <= 4 * SLICE_BYTES:
+    if len(data) <= SLICE_BYTES:
         return span_hashes(data, starts, stops) if len(starts) else np.zeros(0, dtype=np.uint64)
     parts, at = [], 0
     while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(stops, starts[at] + 2 * SLICE_BYTES)))
+        end = max(at + 1, int(np.searchsorted(stops, starts[at] + SLICE_BYTES)))
         base = starts[at]
         parts.append(span_hashes(data[base : stops[end - 1]], starts[at:end] - base, stops[at:end] - base))
         at = end
