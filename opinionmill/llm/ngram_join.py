@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .common import cut, if_small
-from .components import components
+from .components import Forest, components
 from .textbatch import mix, shingle_hashes, slices, word_hashes
 
 #: Sets in a block, entries of a tree node.
@@ -281,25 +281,6 @@ def _meetings(hashed: DataFrame, buckets: int) -> DataFrame:
 
 
 # -- signature trees ----------------------------------------------------------
-class Forest:
-    """Union-find over class ids; classes with the same label start out connected."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (y := up.get(root, root)) != root:
-            root = y
-        while (y := up.get(x, x)) != root:
-            up[x], x = root, y
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        self.up[max(a, b)] = min(a, b)
-
-
 class Node:
     """OR of bitmaps, size range, and the most shingles that any entry lost to shared bits."""
 
@@ -384,10 +365,6 @@ class Traversal:
                 if self._linked(s, t):
                     self.forest.join(x, y)
 
-    def stars(self) -> list[tuple[int, int]]:
-        """Every label that was joined, with the smallest one of its component."""
-        return [(x, self.forest.find(x)) for x in list(self.forest.up)]
-
 
 def _width(sizes: list[int]) -> int:
     return max(256, 1 << (4 * max(sizes) - 1).bit_length())
@@ -412,7 +389,7 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
         width = _width([len(m[1]) for s in sides for m in s])
         walk, left = Traversal(num, den), build(sides[0], width)
         walk.walk(left, build(sides[1], width) if sides[1] else left)
-        return walk.stars()
+        return walk.forest.stars()
 
     def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -481,9 +458,8 @@ def _open_groups(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
     each = meetings.select("gid", "level", "weight", F.explode(F.arrays_zip("owners", "needs")).alias("o"))
     each = each.select("gid", "level", "weight", F.col("o.owners").alias("fp1"), F.col("o.needs").alias("need"))
     left = cut(still_open(each.join(labelled, "fp1")))
-    for _ in range(2):
-        enough = left.groupBy("class_id", "level").agg(F.sum("weight").alias("all"), F.max("need").alias("least")).where("all >= least")
-        left = cut(still_open(left.join(enough.select("class_id", "level"), ["class_id", "level"], "left_semi")))
+    enough = left.groupBy("class_id", "level").agg(F.sum("weight").alias("all"), F.max("need").alias("least")).where("all >= least")
+    left = cut(still_open(left.join(enough.select("class_id", "level"), ["class_id", "level"], "left_semi")))
     sets = left.select("fp1", "class_id", "n", "label").distinct()
     groups = components(left.join(left.groupBy("gid").agg(F.min("class_id").alias("a")), "gid").select("a", F.col("class_id").alias("b")))
     return sets.join(groups, F.col("class_id") == F.col("node")).select(F.col("component").alias("gid"), "fp1", "class_id", "n", "label")

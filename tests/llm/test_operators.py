@@ -205,7 +205,9 @@ def test_linked_sets_share_a_part():
                 assert len(np.intersect1d(ngram_join.part_keys(a, num, den), ngram_join.part_keys(b, num, den)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [200_000, 7])
+def test_components(spark, part, monkeypatch):
+    monkeypatch.setattr(components, "PART_LINKS", part)
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 90), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.components(links).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90, 101: 90}
