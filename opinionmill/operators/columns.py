@@ -17,18 +17,21 @@ DEFAULT_SENTIMENT = ["sentiment", "label", "rating", "score"]
 
 
 def unique_names(names: Sequence[str]) -> tuple[list[str], dict[int, tuple[str, str]]]:
-    """Names with repeats numbered `x, x_1, x_2`, and the renamed positions; a number in use is passed over."""
-    taken, seen, out, renamed = set(names), set(), [], {}
+    """Names with repeats numbered `x, x_1, x_2`, and the renamed positions; a number in use is passed over.
+
+    Names that differ in the case of letters only are repeats, as Spark can't tell them apart.
+    """
+    taken, seen, out, renamed = {n.lower() for n in names}, set(), [], {}
     for k, name in enumerate(names):
         new = name
-        if name in seen:
+        if name.lower() in seen:
             n = 1
-            while f"{name}_{n}" in taken:
+            while f"{name}_{n}".lower() in taken:
                 n += 1
             new = f"{name}_{n}"
-            taken.add(new)
+            taken.add(new.lower())
             renamed[k] = (name, new)
-        seen.add(name)
+        seen.add(name.lower())
         out.append(new)
     return out, renamed
 

@@ -76,12 +76,12 @@ def smallest_class(df: DataFrame, label_col: str) -> DataFrame:
 
 def check_classes(df: DataFrame, label_col: str, least: int = 2) -> None:
     """At least two classes, each with `least` rows."""
-    counts = {r["label"]: r["n"] for r in df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).limit(10_000).collect()}
-    if len(counts) < 2:
-        raise ValueError(f"classification needs two classes, found {sorted(map(str, counts))}")
-    rare = min(counts, key=lambda c: (counts[c], str(c)))
-    if counts[rare] < least:
-        raise ValueError(f"class {rare!r} has {counts[rare]} rows; {least} are needed")
+    # The rarest classes decide, however many there are.
+    rarest = df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).orderBy("n", "label").limit(2).collect()
+    if len(rarest) < 2:
+        raise ValueError(f"classification needs two classes, found {[str(r['label']) for r in rarest]}")
+    if rarest[0]["n"] < least:
+        raise ValueError(f"class {rarest[0]['label']!r} has {rarest[0]['n']} rows; {least} are needed")
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
@@ -94,4 +94,4 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 def with_weights(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:
     """Adds each row's class weight; there is one row a class to look it up in."""
     weights = class_weights(df, label_col).select(F.col("label").alias(label_col), F.col("weight").alias(weight_col))
-    return df.join(weights, label_col)
+    return df.join(F.broadcast(weights), label_col)

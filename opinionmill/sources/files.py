@@ -20,13 +20,22 @@ def largest_file(spark: SparkSession, folder: str, extension: str = "csv", over_
 
 
 def inventory(spark: SparkSession, folder: str, extension: str = "csv") -> DataFrame:
-    """name, path, length, size, extension, modified, n_rows, n_columns of every CSV file."""
+    """name, path, length, size, extension, modified, n_rows, n_columns of every CSV file.
+
+    n_columns counts the header's fields, quoted commas aside; the header is
+    the line where the file begins.
+    """
     files = list_files(spark, folder, extension)
+    fields = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ","))
     lines = (
         spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+        # Within a partition rows are numbered in the order of their files' lines.
+        .withColumn("nth", F.monotonically_increasing_id())
+        .groupBy("path", "start")
+        .agg(F.count("*").alias("n"), F.min(F.struct("nth", fields.alias("fields")))["fields"].alias("fields"))
         .groupBy("path")
-        .agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n_rows"), F.max(F.size(F.split("value", ","))).alias("n_columns"))
+        .agg(F.greatest(F.sum("n") - 1, F.lit(0)).alias("n_rows"), F.min(F.struct("start", "fields"))["fields"].alias("n_columns"))
     )
     plain = F.regexp_replace("path", "^file:/+", "/")
     return (
