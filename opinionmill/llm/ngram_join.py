@@ -56,6 +56,8 @@ from .textbatch import mix, shingle_hashes, slices, word_hashes
 
 #: Sets in a block, entries of a tree node.
 BLOCK, FAN = 128, 8
+#: Rows of an intermediate table that make a task of their own worth while.
+PART_ROWS = 50_000
 #: Keys that a task posts at once, copies it remembers, keys that a bucket sifts at once, owners that make a key crowded.
 FLUSH, SEEN, BUCKET_KEYS, CROWD = 1 << 20, 1 << 18, 1 << 23, 4096
 
@@ -411,6 +413,12 @@ def _join_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Cut lineage; few rows are read again by few tasks, so that later shuffles aren't many tiny files."""
+    rows = cut(rows)
+    return rows.coalesce(rows.count() // PART_ROWS + 1)
+
+
 def _elements(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp1, elements (the set as bytes) of the texts whose __id is wanted."""
 
@@ -433,11 +441,11 @@ def _near_centres(meetings: DataFrame, classes: DataFrame, rows: DataFrame, widt
     each = meetings.select("low", "low_need", "level", "weight", F.explode(F.arrays_zip("owners", "needs")).alias("o"))
     each = each.select("low", "low_need", "level", "weight", F.col("o.owners").alias("fp1"), F.col("o.needs").alias("need")).where("fp1 != low")
     sums = each.groupBy("low", "fp1", "level").agg(F.sum("weight").alias("weight"), F.max(F.greatest("need", "low_need")).alias("need"))
-    spokes = cut(sums.where("weight >= need").select("low", "fp1").distinct())
+    spokes = _kept(sums.where("weight >= need").select("low", "fp1").distinct())
     counts = spokes.groupBy("low").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("salts"))
     spokes = spokes.join(counts, "low").select("low", "fp1", F.xxhash64("low", F.pmod(F.xxhash64("fp1"), "salts")).alias("gid"))
-    members = cut(spokes.select("gid", "fp1").unionByName(spokes.select("gid", F.col("low").alias("fp1"))).distinct())
-    wanted = cut(classes.join(members.select("fp1").distinct(), "fp1", "left_semi").select("fp1", "class_id"))
+    members = _kept(spokes.select("gid", "fp1").unionByName(spokes.select("gid", F.col("low").alias("fp1"))).distinct())
+    wanted = _kept(classes.join(members.select("fp1").distinct(), "fp1", "left_semi").select("fp1", "class_id"))
     sets = _elements(rows, wanted.select(F.col("class_id").alias("__id")), width)
     found = members.join(wanted, "fp1").join(sets, "fp1")
     return _join_groups(found.select("gid", F.lit(0).alias("side"), F.col("class_id").alias("__id"), F.col("class_id").alias("label"), "elements"), num, den)
@@ -457,9 +465,9 @@ def _open_groups(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
 
     each = meetings.select("gid", "level", "weight", F.explode(F.arrays_zip("owners", "needs")).alias("o"))
     each = each.select("gid", "level", "weight", F.col("o.owners").alias("fp1"), F.col("o.needs").alias("need"))
-    left = cut(still_open(each.join(labelled, "fp1")))
+    left = _kept(still_open(each.join(labelled, "fp1")))
     enough = left.groupBy("class_id", "level").agg(F.sum("weight").alias("all"), F.max("need").alias("least")).where("all >= least")
-    left = cut(still_open(left.join(enough.select("class_id", "level"), ["class_id", "level"], "left_semi")))
+    left = _kept(still_open(left.join(enough.select("class_id", "level"), ["class_id", "level"], "left_semi")))
     sets = left.select("fp1", "class_id", "n", "label").distinct()
     groups = components(left.join(left.groupBy("gid").agg(F.min("class_id").alias("a")), "gid").select("a", F.col("class_id").alias("b")))
     return sets.join(groups, F.col("class_id") == F.col("node")).select(F.col("component").alias("gid"), "fp1", "class_id", "n", "label")
@@ -467,28 +475,28 @@ def _open_groups(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def _across(left: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links between components among the sets of each open group."""
-    left = cut(left)
+    left = _kept(left)
     sets = _elements(rows, left.select(F.col("class_id").alias("__id")).distinct(), width)
     columns = ["gid", "side", F.col("class_id").alias("__id"), "label", "elements"]
     sized = left.join(left.groupBy("gid").agg(F.count("*").alias("m")), "gid")
     inside = sized.where(F.col("m") <= BLOCK).withColumn("side", F.lit(0)).drop("m")
-    large = cut(sized.where(F.col("m") > BLOCK).drop("m"))
+    large = _kept(sized.where(F.col("m") > BLOCK).drop("m"))
     if large.isEmpty():
         return _join_groups(inside.join(sets, "fp1").select(*columns), num, den)
     # Sets outside a large group's main component meet all of its blocks in reach.
     step = log(den / num) if den > num else log(2)
     large = large.withColumn("range", F.floor(F.log("n") / step))
     counts = large.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    blocked = cut(large.join(counts, ["gid", "range"]).withColumn("salt", F.pmod(F.xxhash64("fp1", "gid"), "salts")).drop("salts"))
+    blocked = _kept(large.join(counts, ["gid", "range"]).withColumn("salt", F.pmod(F.xxhash64("fp1", "gid"), "salts")).drop("salts"))
     main = blocked.groupBy("gid", "label").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
     outside = blocked.join(main, "gid").where("label != main").drop("main", "salt")
     counts = outside.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    outside = cut(outside.join(counts, ["gid", "range"]).withColumn("part", F.pmod(F.xxhash64("fp1", "gid", F.lit(2)), "salts")).drop("salts"))
+    outside = _kept(outside.join(counts, ["gid", "range"]).withColumn("part", F.pmod(F.xxhash64("fp1", "gid", F.lit(2)), "salts")).drop("salts"))
     asking = outside.groupBy("gid", "range", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     asking = asking.withColumn("to_range", F.explode(F.array(*[F.col("range") + k for k in (-1, 0, 1)])))
     blocks = blocked.groupBy("gid", "range", "salt").agg(F.min("label").alias("b_low"), F.max("label").alias("b_high")).withColumnRenamed("range", "to_range")
     pairs = asking.join(blocks, ["gid", "to_range"]).where("not (low = high and b_low = b_high and low = b_low)")
-    pairs = cut(pairs.select("gid", "range", "part", "to_range", "salt", F.xxhash64("gid", "range", "part", "to_range", "salt").alias("pair")))
+    pairs = _kept(pairs.select("gid", "range", "part", "to_range", "salt", F.xxhash64("gid", "range", "part", "to_range", "salt").alias("pair")))
     asked = outside.join(pairs, ["gid", "range", "part"]).withColumn("side", F.lit(0))
     told = blocked.withColumnRenamed("range", "to_range").join(pairs, ["gid", "to_range", "salt"]).withColumn("side", F.lit(1))
     both = asked.select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label").unionByName(told.select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label"))
@@ -509,20 +517,20 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] =
         raise TypeError(f"{id_col} must be an integer column")
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    read = cut(_meetings(_hashed(rows, width, num, den, buckets), buckets))
+    read = _kept(_meetings(_hashed(rows, width, num, den, buckets), buckets))
     texts, meetings = read.where("gid is null").select("__id", "n", "fp1", "fp2"), read.where("gid is not null").drop("__id", "n", "fp1", "fp2")
     # Documents with the same set are one class, represented by its smallest id.
     some = texts.where("n > 0 and __id is not null")
-    classes = cut(some.groupBy("fp1", "fp2", "n").agg(F.min("__id").alias("class_id")))
+    classes = _kept(some.groupBy("fp1", "fp2", "n").agg(F.min("__id").alias("class_id")))
     near = components(_near_centres(meetings, classes, rows, width, num, den))
     labelled = classes.join(near, F.col("class_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class_id"))
-    labelled = cut(labelled.select("fp1", "fp2", "n", "class_id", "label"))
+    labelled = _kept(labelled.select("fp1", "fp2", "n", "class_id", "label"))
     far = _across(_open_groups(meetings, labelled.select("fp1", "class_id", "n", "label")), rows, width, num, den)
     # Rows that share an id connect their classes.
     twins = some.groupBy("__id").agg(F.min(F.struct("fp1", "fp2")).alias("one"), F.max(F.struct("fp1", "fp2")).alias("other")).where("one != other").select("__id")
     twins = some.join(twins, "__id").join(labelled, ["fp1", "fp2", "n"]).select("__id", "label")
     twins = twins.join(twins.groupBy("__id").agg(F.min("label").alias("b")), "__id").select(F.col("label").alias("a"), "b")
-    more = cut(far.unionByName(twins).where("a != b"))
+    more = _kept(far.unionByName(twins).where("a != b"))
     if not more.isEmpty():
         merged = components(more)
         labelled = labelled.join(merged, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("component", "label"))
