@@ -91,6 +91,31 @@ def test_exact_dedup(docs, empty, lanes):
     assert len(twice) == 2 * len(TEXTS) and {r["group_size"] for r in twice if r["doc_id"] == 14} == {2}
 
 
+def test_exact_dedup_keeps_null_ids_apart(spark):
+    """Fingerprints of these texts collide, and one row has no id."""
+    df = spark.createDataFrame([(None, "abcd"), (None, "dcba"), (1, "abcd")], "doc_id long, text string")
+    found = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df, lanes=((2, 1), (2, 1))).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found == {(None, sha("abcd")): (1, 2, False), (None, sha("dcba")): (None, 1, True), (1, sha("abcd")): (1, 2, True)}
+
+
+def test_sharding_refuses_clashing_columns(spark):
+    for name in ("slot", "Shard"):
+        with pytest.raises(ValueError):
+            sharding.assign(spark.range(3).withColumn(name, F.lit(1)), "id", ["a", "b"], 7)
+
+
+def test_quality_reads_long_texts_whole():
+    from opinionmill.llm.ngrams import word_ngrams
+
+    one = np.frombuffer(b"x" * 1_300_000, dtype=np.uint8)
+    assert len(word_ngrams(one, np.array([0, len(one)]), 18)[0]) == 1
+    many = np.frombuffer(b"ab cd " * 300_000, dtype=np.uint8)
+    rows, _ = word_ngrams(many, np.array([0, len(many)]), 18)
+    # Tokens, neighbours, and pairs that repeat a word two further on.
+    assert len(rows) == 600_000 + 599_999 + 599_998
+
+
 def test_fingerprints_compose(docs, monkeypatch):
     whole = {r["__id"]: (r["lane_0"], r["lane_1"]) for r in exact_dedup.fingerprints(docs).collect()}
     for i, t in TEXTS:
