@@ -95,6 +95,18 @@ _FILL = """
   {name}_table AS (SELECT slot, ((turn - 1) % {n})::INT AS shard FROM {name}_filled WHERE turn > 0)
 """
 
+#: A round of line templates: the usual tokens behind the leaf's three leading ones, and the lines that agree with them.
+_ROUND = """
+tok{k} AS (SELECT leaf, docs, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM left{k}),
+w{k} AS (SELECT leaf, pos, token, sum(docs) AS w FROM tok{k} WHERE pos >= 3 GROUP BY ALL),
+u{k} AS (SELECT leaf, pos, arg_max(token, (w, token)) AS token FROM w{k} GROUP BY ALL),
+seed{k} AS (SELECT leaf, list(token ORDER BY pos) AS usual FROM u{k} GROUP BY leaf),
+tried{k} AS (
+  SELECT l.*, coalesce(len(list_filter(range(4, len(ts) + 1), lambda i: ts[i] = usual[i - 3])) * 100 >= (len(ts) - 3) * 60, FALSE) AS fits
+  FROM left{k} l LEFT JOIN seed{k} USING (leaf)),
+left{next} AS (SELECT leaf, line, ts, docs, texts FROM tried{k} WHERE NOT fits),
+"""
+
 ORACLES = {
     "op1_sharding": f"""
 WITH RECURSIVE {_FILL.format(name="full_set", skip=0, n=24, slots=SLOTS, less=SLOTS - 1)},
@@ -116,19 +128,19 @@ l AS (
   SELECT doc_id, t, line_no, trim(regexp_replace(regexp_replace(x, '[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*', '<*>', 'g'), '[ \t\r\f\v]+', ' ', 'g')) AS line
   FROM raw),
 k AS (SELECT *, string_split(line, ' ') AS ts, concat(len(string_split(line, ' ')), ' ', array_to_string(string_split(line, ' ')[1:3], ' ')) AS leaf FROM l WHERE line <> ''),
-c AS (SELECT leaf, line, any_value(ts) AS ts, count(DISTINCT doc_id) AS docs FROM k GROUP BY leaf, line),
-tok AS (SELECT leaf, docs, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM c),
-w AS (SELECT leaf, pos, token, sum(docs) AS w FROM tok GROUP BY ALL),
-u AS (SELECT leaf, pos, arg_max(token, (w, token)) AS token FROM w GROUP BY ALL),
-seed AS (SELECT leaf, list(token ORDER BY pos) AS usual FROM u GROUP BY leaf),
+left0 AS (SELECT leaf, line, any_value(ts) AS ts, count(DISTINCT doc_id) AS docs, count(DISTINCT t) AS texts FROM k GROUP BY leaf, line),
+""" + "".join(_ROUND.format(k=k, next=k + 1) for k in range(3)) + r"""
 placed AS (
-  SELECT c.leaf, c.line,
-         CASE WHEN len(list_filter(range(1, len(ts) + 1), lambda i: ts[i] = usual[i])) * 100 >= len(ts) * 60 THEN '' ELSE c.line END AS template
-  FROM c JOIN seed USING (leaf)),
+  SELECT leaf, line, '0' AS template FROM tried0 WHERE fits
+  UNION ALL SELECT leaf, line, '1' FROM tried1 WHERE fits
+  UNION ALL SELECT leaf, line, '2' FROM tried2 WHERE fits
+  UNION ALL SELECT leaf, line, line FROM left3),
 found AS (
   SELECT leaf, template FROM k JOIN placed USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
 gone AS (
-  SELECT DISTINCT doc_id, t, line_no FROM k JOIN placed USING (leaf, line) JOIN found USING (leaf, template)),
+  SELECT doc_id, t, line_no FROM k JOIN placed USING (leaf, line) JOIN found USING (leaf, template)
+  UNION
+  SELECT doc_id, t, line_no FROM k JOIN left0 USING (leaf, line) WHERE len(left0.ts) > 50 AND texts >= 2),
 kept AS (
   SELECT raw.doc_id, raw.t, count(gone.line_no) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY raw.line_no) FILTER (WHERE gone.line_no IS NULL), '') AS text
   FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.t = raw.t AND gone.line_no = raw.line_no GROUP BY raw.doc_id, raw.t)

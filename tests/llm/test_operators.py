@@ -250,6 +250,22 @@ def test_line_templates(spark, empty):
     assert line_templates.drop_recurring_lines(empty).count() == 0
 
 
+def test_line_templates_of_one_leaf(spark):
+    """A leaf holds several templates, short lines of equal beginnings stay, long lines recur in two texts."""
+    names = ["ada", "bob", "cyd", "dee", "eva", "fay"]
+    passage = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(51))
+    first = [(i, f"Read more about {names[i % 6]} in our weekly news") for i in range(24)]
+    second = [(100 + i, f"Read more about how {names[i % 6]} cooks quick {names[i // 6]}") for i in range(12)]
+    short = [(200 + i, f"There is a {''.join(chr(97 + int(c)) for c in str(i))}{'x' if i % 2 else ''}") for i in range(30)]
+    long = [(300, f"own text\n{passage}"), (301, f"{passage}\nother text"), (302, passage[:-7] + "\nunlike"), (303, f"copy {passage}"), (304, f"copy {passage}")]
+    found = by_id(line_templates.drop_recurring_lines(spark.createDataFrame(first + second + short + long, "doc_id long, text string")))
+    assert all(found[i]["n_dropped"] == 1 for i, _ in first + second)
+    assert all(found[i]["n_dropped"] == 0 for i, _ in short)
+    assert (found[300]["text"], found[301]["text"]) == ("own text", "other text")
+    # Copies of one text are one text, and fifty words are not more than fifty.
+    assert [found[i]["n_dropped"] for i in (302, 303, 304)] == [0, 0, 0]
+
+
 def labelled(spark, make, n=240):
     docs = spark.createDataFrame([(i, make(i)) for i in range(n)] + [(9000, None), (9001, "")], "doc_id long, text string")
     return docs, spark.createDataFrame([(i, i % 2) for i in range(0, n, 3)], "doc_id long, label int")
