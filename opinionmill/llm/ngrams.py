@@ -40,6 +40,17 @@ def windows(data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tup
         yield part, np.array([0, len(part)])
 
 
+def folded_windows(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Order, folded bytes and offsets; the windows of an order overlap so that each of its n-grams lies in exactly one."""
+    whole = fold(data) if len(data) <= WINDOW_BYTES or len(offsets) != 2 else None
+    for order in orders:
+        if whole is not None:
+            yield order, whole, offsets
+        else:
+            for part, at in windows(data, offsets, order - 1):
+                yield order, fold(part), at
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """Sum, for each row, of the values at starts of n-grams that lie within the row."""
     sums = np.zeros(len(values) + 1)

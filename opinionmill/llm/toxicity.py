@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, labelled_sample
 from .linear import Counts, fit_logistic, sigmoid
-from .ngrams import byte_ngrams, fold, row_sums, windows
+from .ngrams import byte_ngrams, folded_windows, row_sums
 from .textbatch import slices
 
 ORDERS = (3, 4, 5)
@@ -46,7 +46,7 @@ class Model:
 
 def _buckets(text: np.ndarray) -> np.ndarray:
     """Buckets of all n-grams of one text."""
-    found = [byte_ngrams(fold(part), n, BITS) for part, _ in windows(text, np.array([0, len(text)]), max(ORDERS) - 1) for n in ORDERS]
+    found = [byte_ngrams(part, n, BITS) for n, part, _ in folded_windows(text, np.array([0, len(text)]), ORDERS)]
     return np.concatenate(found)
 
 
@@ -127,6 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Evidence for a difference between the classes: buckets with the most are weighed, the others get no weight.
     pooled = (present.sum(axis=0) + 1) / (n_other + n_toxic + 2)
     evidence = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / n_other + 1 / n_toxic))
+    # A bucket that no text has would show the classes' sizes only.
+    absent = present.sum(axis=0) == 0
+    evidence[absent], ratio[absent] = 0, 0
     ratio[np.argsort(-evidence, kind="stable")[KEPT_BUCKETS:]] = 0
     matrix, y = _features(sample, 100 * ratio)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
@@ -141,11 +144,9 @@ def scores(column: pa.Array, weights: np.ndarray, intercept: float) -> np.ndarra
     out = np.full(len(column), intercept)
     for first, stop, data, offsets in slices(column, 1 << 18):
         sums, total = np.zeros(stop - first), np.zeros(stop - first)
-        for part, at in windows(data, offsets, max(ORDERS) - 1):
-            folded = fold(part)
-            for n in ORDERS:
-                sums += row_sums(weights[byte_ngrams(folded, n, BITS)], at, n)
-                total += np.maximum(np.diff(at) - n + 1, 0)
+        for n, part, at in folded_windows(data, offsets, ORDERS):
+            sums += row_sums(weights[byte_ngrams(part, n, BITS)], at, n)
+            total += np.maximum(np.diff(at) - n + 1, 0)
         out[first:stop] += sums / np.maximum(total, 1)
     return sigmoid(out)
 
