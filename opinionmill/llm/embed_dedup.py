@@ -5,9 +5,10 @@ The vectors are rotated to the principal axes of a bounded sample and split
 into blocks of few dimensions; the squared distance is the sum over the blocks,
 so if each block has a share of the budget, in proportion to its share of the
 variance, a pair within the whole budget is within its share in one block at
-least.  Each block is range-joined by itself: boxes split at sample medians
-deal the vectors out, a vector visits every lower-numbered box that its share
-reaches, and within a box block distances come from matrix products.  A pair is
+least.  Each block is range-joined by itself: a tree of boxes split at sample
+medians deals the vectors out, a vector descends to every lower-numbered box
+that its share reaches, and within a box block distances come from matrix
+products.  The number of boxes grows with the table, and the sample with it.  A pair is
 verified, exactly and in double precision, in the first block that finds it,
 so the union of the blocks needs no deduplication.
 
@@ -17,15 +18,17 @@ class its number of linked vectors and one link of a spanning forest, never
 the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing; vectors of different lengths don't compare;
-repeated rows are linked with each other, like any equal vectors; null ids link
-with nothing; other columns are not read; an empty table gives an empty result.
+components link with nothing; vectors of different lengths don't compare, and there may be
+any number of lengths; repeated rows are linked with each other, like any equal
+vectors; null ids link with nothing; ids that are no integers are an error;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log2
 
 import numpy as np
@@ -36,21 +39,28 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-#: Sampled vectors for axes and boxes, dimensions of a block, vectors a box should hold, boxes of a block at most.
-SAMPLE, BLOCK_DIMS, BOX_ROWS, MAX_BOXES = 4096, 16, 8192, 1024
-#: Vectors in one part of a crowded box, vectors of one matrix product, pairs verified at once, distinct vector lengths at most.
-PART_ROWS, TILE, PAIRS, MAX_LENGTHS = 16_384, 1024, 16_384, 64
+#: Sampled vectors for axes and boxes, at least; sampled vectors for each box; components of a sample, at most.
+SAMPLE, SAMPLED_A_BOX, SAMPLE_VALUES = 4096, 4, 1 << 23
+#: Dimensions of a block, vectors a box should hold.
+BLOCK_DIMS, BOX_ROWS = 16, 8192
+#: Vectors and components in one part of a crowded box, vectors of one matrix product, pairs verified at once.
+PART_ROWS, PART_VALUES, TILE, PAIRS = 16_384, 1 << 22, 1024, 16_384
+#: The most usual vector lengths have axes and boxes of their own, and so have all with more vectors than a box.
+OWN_LENGTHS = 64
 
 
 @dataclass
 class Layout:
-    """Axes, blocks as column ranges, each block's budget and boxes (lower and upper corners)."""
+    """Axes (none: as they are), blocks as column ranges, each block's budget and tree of boxes.
 
-    axes: np.ndarray
+    A tree is a list of levels, each with its boxes' lower and upper corners;
+    box k of a level is split into boxes 2k and 2k + 1 of the next one.
+    """
+
+    axes: np.ndarray | None
     blocks: list[tuple[int, int]]
     budgets: list[float]
-    lows: list[np.ndarray]
-    highs: list[np.ndarray]
+    trees: list[list[tuple[np.ndarray, np.ndarray]]]
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -59,20 +69,39 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _boxes(points: np.ndarray, n_boxes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Boxes that tile the space, from median splits along the widest dimension."""
+def _tree(points: np.ndarray, n_boxes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of boxes that tile the space, from median splits along the widest dimension."""
     d = points.shape[1]
     parts = [(points, np.full(d, -np.inf), np.full(d, np.inf))]
-    while len(parts) < n_boxes:
+    levels = []
+    while True:
+        levels.append((np.array([p[1] for p in parts]), np.array([p[2] for p in parts])))
+        if len(parts) >= n_boxes:
+            return levels
         split = []
         for part, low, high in parts:
             axis = int(np.argmax(part.std(axis=0))) if len(part) > 1 else 0
-            at = float(np.median(part[:, axis])) if len(part) else 0.0
+            # A box without points is split where it stays a box.
+            at = float(np.median(part[:, axis])) if len(part) else max(low[axis], min(high[axis], 0.0))
             left_high, right_low = high.copy(), low.copy()
             left_high[axis] = right_low[axis] = at
             split += [(part[part[:, axis] < at], low, left_high), (part[part[:, axis] >= at], right_low, high)]
         parts = split
-    return np.array([p[1] for p in parts]), np.array([p[2] for p in parts])
+
+
+def _descend(x: np.ndarray, tree: list[tuple[np.ndarray, np.ndarray]], budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, box and whether it is the row's own, for the boxes within the budget up to the own one."""
+    row, box, home = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=bool)
+    for low, high in tree[1:]:
+        row, box, home = np.repeat(row, 2), (np.repeat(2 * box, 2).reshape(-1, 2) + [0, 1]).ravel(), np.repeat(home, 2)
+        gap = np.maximum(np.maximum(low[box] - x[row], x[row] - high[box]), 0)
+        home &= ((x[row] >= low[box]) & (x[row] < high[box])).all(axis=1)
+        near = home | ((gap * gap).sum(axis=1) <= budget)
+        row, box, home = row[near], box[near], home[near]
+    own = np.empty(len(x), dtype=np.int64)
+    own[row[home]] = box[home]
+    before = box <= own[row]
+    return row[before], box[before], home[before]
 
 
 def plan(sample: np.ndarray, total: int, cosine: float) -> Layout:
@@ -87,9 +116,20 @@ def plan(sample: np.ndarray, total: int, cosine: float) -> Layout:
     shares = np.array([energy[a:b].sum() for a, b in blocks])
     # A little slack keeps rounding from costing a pair; what it lets in is verified.
     budgets = ((2 - 2 * cosine) * shares / shares.sum() * (1 + 1e-9) + 1e-12).tolist()
-    n_boxes = min(MAX_BOXES, 1 << max(0, ceil(log2(max(1, total / BOX_ROWS)))))
-    boxes = [_boxes((x @ axes)[:, a:b], n_boxes) for a, b in blocks]
-    return Layout(axes, blocks, budgets, [b[0] for b in boxes], [b[1] for b in boxes])
+    # A sample that can't grow further splits into as many boxes as it has points for.
+    n_boxes = min(_box_count(total), 1 << max(0, int(log2(max(1, len(x) / SAMPLED_A_BOX)))))
+    return Layout(axes, blocks, budgets, [_tree((x @ axes)[:, a:b], n_boxes) for a, b in blocks])
+
+
+def _box_count(total: int) -> int:
+    return 1 << max(0, ceil(log2(max(1, total / BOX_ROWS))))
+
+
+def _sampled(classes: DataFrame, length: int, total: int) -> np.ndarray:
+    """Vectors for the plan; their number follows the number of boxes, up to SAMPLE_VALUES components."""
+    rows = min(max(SAMPLE, SAMPLED_A_BOX * _box_count(total)), max(SAMPLE_VALUES // length, 1))
+    found = classes.orderBy(F.xxhash64("rep"), "rep").limit(rows).select("vector").toArrow().column(0).combine_chunks()
+    return _matrix(found, length)
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
@@ -107,17 +147,10 @@ def _visits(classes: DataFrame, layout: Layout, length: int) -> DataFrame:
                 part = batch.slice(first, 2048)
                 rotated = unit(_matrix(part.column(2), length)) @ at.axes
                 for block, (a, b) in enumerate(at.blocks):
-                    x, home = rotated[:, a:b], np.full(len(part), -1)
-                    near = np.zeros((len(part), len(at.lows[block])), dtype=bool)
-                    for box, (low, high) in enumerate(zip(at.lows[block], at.highs[block])):
-                        gap = np.maximum(np.maximum(low - x, x - high), 0)
-                        near[:, box] = (gap * gap).sum(axis=1) <= at.budgets[block]
-                        home[((x >= low) & (x < high)).all(axis=1)] = box
-                    near &= np.arange(near.shape[1])[None, :] <= home[:, None]
-                    row, box = np.nonzero(near)
+                    row, box, home = _descend(rotated[:, a:b], at.trees[block], at.budgets[block])
                     found = part.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [*found.columns, pa.array(np.full(len(row), block)), pa.array(box), pa.array(box == home[row])],
+                        [*found.columns, pa.array(np.full(len(row), block)), pa.array(box), pa.array(home)],
                         names=["rep", "weight", "vector", "block", "box", "home"],
                     )
 
@@ -138,22 +171,23 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def _join(rows: DataFrame, layout: Layout, length: int, cosine: float) -> DataFrame:
+def _join(rows: DataFrame, layout: Layout | None, cosine: float) -> DataFrame:
     """rep, linked (vectors linked with it, found here), other (a class in its component) from each group of two parts.
 
-    Rows: gid, side (0 and 1, or only 0 for a part with itself), block, rep, weight, vector.
+    Without a layout a group's vectors are one block.  Rows: gid, side (0 and 1, or 2 for a part with itself), block, rep, weight, vector.
     """
     shared = rows.sparkSession.sparkContext.broadcast(layout)
 
-    def pairs(group: dict[int, list], block: int, at: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        left, right = group[0], group[1] or group[0]
+    def pairs(group: dict[int, list], block: int, at: Layout | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        own = bool(group[2])
+        left, right = (group[2], group[2]) if own else (group[0], group[1])
         if not left or not right:
             return None
-        own = right is left
         ids = np.array([r[0] for r in left] + ([] if own else [r[0] for r in right]))
         weight = np.array([r[1] for r in left] + ([] if own else [r[1] for r in right]), dtype=float)
-        vectors = unit(np.array([r[2] for r in left] + ([] if own else [r[2] for r in right])))
-        rotated = vectors @ at.axes
+        vectors = unit(np.array([r[2] for r in left] + ([] if own else [r[2] for r in right]), dtype=float))
+        at = at or Layout(None, [(0, vectors.shape[1])], [(2 - 2 * cosine) * (1 + 1e-9) + 1e-12], [])
+        rotated = vectors if at.axes is None else vectors @ at.axes
         a, b = at.blocks[block]
         # One product tells which pairs are near in this block: x.y - |x|^2/2 - |y|^2/2 is minus half their squared distance.
         x = rotated[:, a:b]
@@ -191,7 +225,7 @@ def _join(rows: DataFrame, layout: Layout, length: int, cosine: float) -> DataFr
         return ids[some], linked[some].astype(np.int64), ids[labels[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, key, block, group = shared.value, None, 0, {0: [], 1: []}
+        at, key, block, group = shared.value, None, 0, {0: [], 1: [], 2: []}
 
         def out():
             found = pairs(group, block, at) if key is not None else None
@@ -199,12 +233,12 @@ def _join(rows: DataFrame, layout: Layout, length: int, cosine: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rep", "linked", "other"])
 
         for batch in batches:
-            vectors = _matrix(batch.column(5), length)
+            vectors, ends = np.asarray(batch.column(5).flatten()), np.cumsum([0, *batch.column(5).value_lengths().to_pylist()])
             for k, (gid, side, b, rep, weight) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
                 if gid != key:
                     yield from out()
-                    key, block, group = gid, b, {0: [], 1: []}
-                group[side].append((rep, weight, vectors[k]))
+                    key, block, group = gid, b, {0: [], 1: [], 2: []}
+                group[side].append((rep, weight, vectors[ends[k] : ends[k + 1]]))
         yield from out()
 
     ordered = rows.select("gid", "side", "block", "rep", "weight", "vector").repartition("gid").sortWithinPartitions("gid")
@@ -212,15 +246,14 @@ def _join(rows: DataFrame, layout: Layout, length: int, cosine: float) -> DataFr
 
 
 def _groups(visits: DataFrame) -> DataFrame:
-    """Deals every box's residents and visitors out to groups of two parts."""
-    sizes = visits.groupBy("block", "box").agg(
-        F.ceil(F.count_if("home") / PART_ROWS).alias("parts"), F.ceil(F.count_if(~F.col("home")) / PART_ROWS).alias("guests")
-    )
+    """Deals every box's residents and visitors out to groups of two parts; long vectors make smaller parts."""
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(PART_ROWS)), F.floor(F.lit(PART_VALUES) / F.max(F.size("vector")))))
+    sizes = visits.groupBy("block", "box").agg(F.ceil(F.count_if("home") / room).alias("parts"), F.ceil(F.count_if(~F.col("home")) / room).alias("guests"))
     # Residents' part p meets itself, later resident parts, and every part of the visitors.
     dealt = visits.join(sizes, ["block", "box"]).withColumn("salt", F.xxhash64("rep", F.lit(3)))
     dealt = dealt.withColumn("part", F.when(F.col("home"), F.pmod("salt", "parts")).otherwise(F.pmod("salt", F.greatest("guests", F.lit(1)))))
     resident = F.concat(
-        F.array(F.struct(F.col("part").alias("p"), F.lit("own").alias("with"), F.lit(-1).cast("long").alias("q"), F.lit(0).alias("side"))),
+        F.array(F.struct(F.col("part").alias("p"), F.lit("own").alias("with"), F.lit(-1).cast("long").alias("q"), F.lit(2).alias("side"))),
         F.expr("transform(filter(sequence(0L, parts - 1), q -> q > part), q -> named_struct('p', part, 'with', 'part', 'q', q, 'side', 0))"),
         F.expr("transform(filter(sequence(0L, parts - 1), q -> q < part), q -> named_struct('p', q, 'with', 'part', 'q', part, 'side', 1))"),
         F.expr("if(guests = 0, array(), transform(sequence(0L, greatest(guests, 1L) - 1), q -> named_struct('p', part, 'with', 'guest', 'q', q, 'side', 0)))"),
@@ -237,16 +270,21 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     good = F.col("vector").isNotNull() & F.col("__id").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     valid = rows.where(F.coalesce(good, F.lit(False)))
     classes = cut(valid.groupBy("vector").agg(F.min("__id").alias("rep"), F.count("*").alias("weight")).withColumn("length", F.size("vector")))
-    found = None
-    sizes = classes.groupBy("length").agg(F.count("*").alias("n")).limit(MAX_LENGTHS + 1).collect()
-    if len(sizes) > MAX_LENGTHS:
-        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
-    for length, total in sizes:
+    sizes = classes.groupBy("length").agg(F.count("*").alias("n"))
+    # Lengths with more vectors than a box have boxes of their own; of the others the most usual ones do.
+    own = sizes.where(F.col("n") > BOX_ROWS).collect()
+    own += sizes.where(F.col("n") <= BOX_ROWS).orderBy(F.desc("n"), "length").limit(OWN_LENGTHS).collect()
+    parts = []
+    for length, total in own:
         same = classes.where(F.col("length") == length)
-        sample = np.array([r["vector"] for r in same.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").collect()], dtype=float)
-        layout = plan(sample, total, cosine)
-        part = _join(_groups(cut(_visits(same, layout, length))), layout, length, cosine)
-        found = part if found is None else found.unionByName(part)
+        layout = plan(_sampled(same, length, total), total, cosine)
+        parts.append(_join(_groups(cut(_visits(same, layout, length))), layout, cosine))
+    rest = sizes.join(F.broadcast(classes.sparkSession.createDataFrame(own, sizes.schema).select("length")), "length", "left_anti")
+    if rest.head() is not None:
+        # Any number of rare lengths, each a box by itself.
+        rare = classes.join(rest.select("length"), "length").select("rep", "weight", "vector", F.lit(0).cast("long").alias("block"), F.col("length").cast("long").alias("box"), F.lit(True).alias("home"))
+        parts.append(_join(_groups(cut(rare)), None, cosine))
+    found = reduce(DataFrame.unionByName, parts) if parts else None
     members = valid.join(classes.select("vector", "rep", "weight"), "vector").select("__id", "rep", "weight")
     if found is None:
         return rows.select(F.col("__id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"), F.lit(True).alias("kept"))

@@ -350,3 +350,35 @@ def test_embeddings(spark, box, part, monkeypatch):
     assert all(found[k]["n_links"] == 0 and found[k]["kept"] for k in (900, 901, 902, 905))
     assert found[904]["component_id"] == 903 and not found[904]["kept"]
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+def test_embeddings_of_many_lengths(spark, monkeypatch):
+    """More lengths than have boxes of their own; parts get smaller with longer vectors."""
+    monkeypatch.setattr(embed_dedup, "OWN_LENGTHS", 3)
+    monkeypatch.setattr(embed_dedup, "PART_VALUES", 40)
+    r, rows, want = np.random.default_rng(2), [], {}
+    for length in range(1, 71):
+        base = r.normal(size=length)
+        for k in range(3):
+            rows.append((length * 10 + k, [float(v) for v in base * (k + 1) + (0.01 * r.normal(size=length) if length > 1 else 0)]))
+            want[length * 10 + k] = length * 10
+    for length, k in ((5, 7), (64, 8)):
+        rows += [(length * 10 + k, [float(v) for v in -np.array(rows[(length - 1) * 3][1])])]
+        want[length * 10 + k] = length * 10 + k
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("length", F.lit("clash")).withColumn("rep", F.lit(1))
+    found = by_id(embed_dedup.near_duplicates(df), "vec_id")
+    assert {i: f["component_id"] for i, f in found.items()} == want
+    assert {i: f["n_links"] for i, f in found.items()} == {i: 2 if i % 10 < 3 else 0 for i in want}
+
+
+def test_box_tree_reaches_every_near_box():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(600, 4))
+    tree = embed_dedup._tree(x[:50], 32)
+    row, box, home = embed_dedup._descend(x, tree, 0.5)
+    own = dict(zip(row[home].tolist(), box[home].tolist()))
+    visits = set(zip(row.tolist(), box.tolist()))
+    assert len(own) == len(x) and len(tree) == 6
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= 0.5
+    for a, b in zip(*np.nonzero(near)):
+        low, high = sorted((int(a), int(b)), key=own.get)
+        assert (high, own[low]) in visits
