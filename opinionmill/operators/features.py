@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,8 +26,8 @@ def terms(df: DataFrame, id_col: str, text_col: str, ngram_range: tuple[int, int
 
 def unit_rows(weights: DataFrame) -> DataFrame:
     """Weights divided by their row's Euclidean length."""
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weights.join(norms, "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
+    return weights.select("id", "term", (F.col("weight") / norm).alias("weight"))
 
 
 def fit_tfidf(counts: DataFrame, n_docs: int, min_df: int = 5, max_df: float = 0.8, max_features: int = 5000, use_idf: bool = True) -> DataFrame:
@@ -72,8 +72,6 @@ def feature_names(model: DataFrame | None) -> DataFrame | None:
     """
     if model is None:
         return None
-    from pyspark.sql import Window
-
     return model.select((F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), "term")
 
 

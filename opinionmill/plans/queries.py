@@ -335,28 +335,29 @@ def thinned_rows(spark, sf_dir):
 
 
 # -- features and naive Bayes -------------------------------------------------
-def _corpus_split(spark, sf_dir) -> DataFrame:
-    return split.stratified_split(corpus(spark, sf_dir), "id", "label")
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder for the several jobs that read them."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _tfidf_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Marked documents; TF-IDF weights of training and test documents under the training vocabulary; the vocabulary."""
-    rows = _corpus_split(spark, sf_dir)
-    counts = words.term_counts(features.terms(rows, "id", "text"), "id", "terms")
-    train = rows.where(~F.col("is_test"))
-    train_counts = counts.join(train.select("id"), "id", "left_semi")
-    model = features.fit_tfidf(train_counts, train.count())
-    test_counts = counts.join(rows.where("is_test").select("id"), "id", "left_semi")
-    return rows, features.tfidf(train_counts, model), features.tfidf(test_counts, model), model
+    """id, label, is_test of the documents; TF-IDF weights of training and test documents under the training vocabulary; the vocabulary."""
+    docs = corpus(spark, sf_dir)
+    marks = _stored(split.stratified_split(docs.select("id", "label"), "id", "label"), "marks")
+    counts = _stored(words.term_counts(features.terms(docs, "id", "text"), "id", "terms").join(marks.select("id", "is_test"), "id"), "counts")
+    train = counts.where(~F.col("is_test"))
+    model = _stored(features.fit_tfidf(train, marks.where(~F.col("is_test")).count()), "vocabulary")
+    return marks, features.tfidf(train, model), features.tfidf(counts.where("is_test"), model), model
 
 
 def _nb(spark, sf_dir) -> tuple[naive_bayes.NaiveBayes, DataFrame, DataFrame]:
     rows, train, test, _ = _tfidf_parts(spark, sf_dir)
-    # Weights and model are read by several joins each.
-    model = naive_bayes.fit(train.persist(), rows.where(~F.col("is_test")).select("id", "label"))
-    model.classes.persist()
-    model.terms.persist()
-    return model, rows.where("is_test"), test.persist()
+    labels = rows.where(~F.col("is_test")).select("id", "label")
+    # Sums and model are small, and several joins read them.
+    sums = _stored(naive_bayes.term_sums(train, labels), "sums")
+    return naive_bayes.from_counts(naive_bayes.class_counts(labels), sums), rows.where("is_test"), test
 
 
 def _counts_sql(stop_words: list[str]) -> str:
@@ -493,10 +494,9 @@ def class_report(spark, sf_dir):
 @register("model_comparison_long")
 def model_comparison_long(spark, sf_dir):
     """Naive Bayes against always predicting the test rows' most frequent class."""
-    rows = _predicted(spark, sf_dir).select("label", "prediction").persist()
+    rows = _stored(_predicted(spark, sf_dir).select("label", "prediction"), "predicted")
     first = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
     parts = {"Naive Bayes": metrics.weighted_metrics(rows).first(), "Majority": metrics.weighted_metrics(rows.withColumn("prediction", F.lit(first["label"]))).first()}
-    rows.unpersist()
     wide = metrics.comparison(spark, {k: v.asDict() for k, v in parts.items()})
     return metrics.comparison_long(wide).withColumn("Score", r6("Score"))
 
@@ -519,12 +519,9 @@ def tolerant_csv(spark, sf_dir):
     line = F.concat_ws(",", key.cast("string"), F.lower("o_orderpriority"), (key % 6).cast("string"))
     line = F.when(key % 10 == 7, F.concat(line, F.lit(",one too many"))).when(key % 10 == 3, key.cast("string")).otherwise(line)
     path = shared_folder(spark, "csv")
-    header = spark.range(1).select(F.lit("id,text,rating").alias("value"))
-    # Every file begins with the header.
-    table(spark, sf_dir, "orders").select(line.alias("value")).write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\u0001").csv(f"{path}/raw")
-    rows = spark.read.text(f"{path}/raw").where("value != 'value'")
-    header.unionByName(rows).coalesce(1).write.text(f"{path}/one")
-    return csv.read_tolerant(spark, f"{path}/one").withColumn("rating", F.col("rating").cast("double"))
+    # The one column's name is the header, with which every file begins.
+    table(spark, sf_dir, "orders").select(line.alias("id,text,rating")).write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\u0001").csv(path)
+    return csv.read_tolerant(spark, path).withColumn("rating", F.col("rating").cast("double"))
 
 
 @register("csv_roundtrip", f"WITH {REVIEWS_SQL} SELECT review_id, review_text, sentiment::DOUBLE AS sentiment FROM reviews")
@@ -600,7 +597,9 @@ def _review_stream(spark, sf_dir) -> DataFrame:
 
 def _review_model(spark, sf_dir) -> naive_bayes.NaiveBayes:
     rows = label_normalize(spark, sf_dir).select(F.col("review_id").alias("id"), "label")
-    return naive_bayes.fit(features.hashed(reviews(spark, sf_dir), "review_id", "review_text", by_term=True), rows, 1.5, 1 << 18)
+    model = naive_bayes.fit(features.hashed(reviews(spark, sf_dir), "review_id", "review_text", by_term=True), rows, 1.5, 1 << 18)
+    # Every micro-batch reads the model.
+    return naive_bayes.NaiveBayes(_stored(model.classes, "classes"), _stored(model.terms, "terms"), model.closed, model.features)
 
 
 REVIEW_NB_SQL = f"""{REVIEWS_SQL}, rows AS (SELECT review_id AS id, {LABEL_SQL} AS label, regexp_extract_all(lower(coalesce(review_text, '')), '{W}{{2,}}') AS ts FROM reviews),

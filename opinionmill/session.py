@@ -20,6 +20,9 @@ def session(master: str | None = None, app: str = "opinionmill", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder (a temporary one where none is set, as in tests)."""
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder under the cluster's shared checkpoint folder; only a local session may leave that unset and gets a temporary one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
