@@ -11,7 +11,6 @@ from opinionmill.plans.queries import ORACLES, QUERIES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no tables here")
-SLOW = {"model_comparison_long", "class_report", "weighted_metrics", "nb_predict_proba", "nb_log_odds"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +26,7 @@ def rows(df):
     return sorted(str(tuple(cell(v) for v in r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(ORACLES[name]).df())
 
