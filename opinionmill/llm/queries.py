@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, langid, line_templates, ngram_join, packing, quality, sharding, sp_codec, toxicity
+from . import collocations, embed_dedup, exact_dedup, langid, line_templates, ngram_join, packing, quality, secrets, sharding, sp_codec, toxicity, vector_codes
 from .common import held_out, table
 
 SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(24)], 2503
@@ -71,7 +71,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op6_line_dedup, op7_toxicity, op8_langid, op9_embedding_dedup, op10_quality)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantise(table(spark, sf_dir, "embeddings"))[0]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_sentencepiece, op3_exact_dedup, op4_packing, op5_ngram_join, op6_line_dedup, op7_toxicity, op8_langid, op9_embedding_dedup, op10_quality,
+        op11_secret_scan, op12_collocations, op13_vector_codes,
+    )
+}
 
 #: The table is filled turn by turn: each turn's shard takes the first free slot of its order.
 _FILL = """
@@ -107,7 +126,53 @@ tried{k} AS (
 left{next} AS (SELECT leaf, line, ts, docs, texts FROM tried{k} WHERE NOT fits),
 """
 
+#: Nearest entries of the codebook before round {k} (ties to the lowest), and the codebook after it.
+_ASSIGN = """
+near{k} AS (
+  SELECT id, part, v, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.id, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM pieces p JOIN book{k} b USING (part))
+  GROUP BY id, part, v),
+"""
+_MOVE = """
+sums{k} AS (SELECT part, entry, pos, sum(v[pos])::BIGINT AS total, count(*) AS n FROM near{k}, (SELECT unnest(range(1, 17)) AS pos) GROUP BY ALL),
+means{k} AS (SELECT part, entry, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY pos) AS v FROM sums{k} GROUP BY part, entry),
+book{next} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m USING (part, entry)),
+"""
+
 ORACLES = {
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT doc_id, lang, unnest(range(len(ps))) AS piece, unnest(ps) AS p
+  FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+listed AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+spread AS (
+  SELECT lang, m, unnest(list_transform(range(1, greatest(len(ws) - m + 2, 1)), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM listed, (SELECT unnest([1, 2, 3]) AS m)),
+f AS (SELECT lang, phrase, m, count(*) AS n FROM spread GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND n >= 10),
+inside AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a AS outer_a FROM c WHERE m = 3),
+kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * outer_a >= 50 * a)),
+cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, m)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.n AS l, y.n AS r, ((1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT lang, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM scored GROUP BY lang, phrase, a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""",
+    "op13_vector_codes": """
+WITH kept AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (SELECT id, p AS part, v[p * 16 + 1:p * 16 + 16] AS v FROM kept, (SELECT unnest(range(4)) AS p)),
+firsts AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM kept ORDER BY id LIMIT 256),
+book0 AS (SELECT part, entry, v FROM pieces JOIN firsts USING (id)),
+""" + "".join((_ASSIGN + _MOVE).format(k=k, next=k + 1) for k in range(4)) + _ASSIGN.format(k=4) + """
+codes AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4)
+SELECT id AS vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN kept USING (id), books
+""",
     "op1_sharding": f"""
 WITH RECURSIVE {_FILL.format(name="full_set", skip=0, n=24, slots=SLOTS, less=SLOTS - 1)},
 {_FILL.format(name="less_one", skip=1, n=23, slots=SLOTS, less=SLOTS - 1)},
