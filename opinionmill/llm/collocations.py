@@ -41,11 +41,11 @@ from .textbatch import LOWER, long_span_hashes, mix, slices
 #: Bits of a run's hash, and of its count within a summary (larger counts are cut to the largest).
 HASH_BITS, COUNT_BITS = 44, 20
 #: Characters of text to a range of hashes; counters that a mapping task gathers before it packs them.
-RANGE_CHARS, FLUSH = 1 << 25, 1 << 22
+RANGE_CHARS, FLUSH = 1 << 24, 1 << 20
 #: Bits of the filter at most (64 MB), bits to a survivor, bits that each one sets.
 FILTER_BITS, BITS_EACH, PROBES = 1 << 29, 16, 4
 #: Bytes of text worked on at once, and rows of exact counts that a task gathers.
-TEXT_BYTES, EXACT_ROWS = 1 << 21, 1 << 20
+TEXT_BYTES, EXACT_ROWS = 1 << 20, 1 << 19
 #: Parts of a language whose first phrases are picked before the whole language's.
 SALTS = 64
 
@@ -203,6 +203,7 @@ def _counted(docs: DataFrame, longest: int, ranges: int) -> DataFrame:
                 if size >= FLUSH:
                     yield packed(gathered)
                     gathered, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if size:
             yield packed(gathered)
 
@@ -330,6 +331,7 @@ def _exact(docs: DataFrame, longest: int, passing: Filter) -> DataFrame:
                     if 2 * size >= EXACT_ROWS:
                         yield from tables[0].combine_chunks().to_batches(max_chunksize=1 << 16)
                         tables, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if tables:
             yield from summed(tables).combine_chunks().to_batches(max_chunksize=1 << 16)
 
