@@ -114,17 +114,8 @@ _FILL = """
   {name}_table AS (SELECT slot, ((turn - 1) % {n})::INT AS shard FROM {name}_filled WHERE turn > 0)
 """
 
-#: A round of line templates: the usual tokens behind the leaf's three leading ones, and the lines that agree with them.
-_ROUND = """
-tok{k} AS (SELECT leaf, docs, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM left{k}),
-w{k} AS (SELECT leaf, pos, token, sum(docs) AS w FROM tok{k} WHERE pos >= 3 GROUP BY ALL),
-u{k} AS (SELECT leaf, pos, arg_max(token, (w, token)) AS token FROM w{k} GROUP BY ALL),
-seed{k} AS (SELECT leaf, list(token ORDER BY pos) AS usual FROM u{k} GROUP BY leaf),
-tried{k} AS (
-  SELECT l.*, coalesce(len(list_filter(range(4, len(ts) + 1), lambda i: ts[i] = usual[i - 3])) * 100 >= (len(ts) - 3) * 60, FALSE) AS fits
-  FROM left{k} l LEFT JOIN seed{k} USING (leaf)),
-left{next} AS (SELECT leaf, line, ts, docs, texts FROM tried{k} WHERE NOT fits),
-"""
+#: Whether 60 % of the tokens of two tails, and one at least, are equal at their places.
+_AGREE = "len(list_filter(range(1, len({a}.tail) + 1), lambda i: {a}.tail[i] = {b}.tail[i])) * 100 >= greatest(1, len({a}.tail) * 60)"
 
 #: Nearest entries of the codebook before round {k} (ties to the lowest), and the codebook after it.
 _ASSIGN = """
@@ -187,19 +178,30 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PART
 FROM t
 """,
     "op6_line_dedup": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 raw AS (SELECT doc_id, t, unnest(range(len(ls))) AS line_no, unnest(ls) AS x FROM d),
 l AS (
   SELECT doc_id, t, line_no, trim(regexp_replace(regexp_replace(x, '[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*', '<*>', 'g'), '[ \t\r\f\v]+', ' ', 'g')) AS line
   FROM raw),
 k AS (SELECT *, string_split(line, ' ') AS ts, concat(len(string_split(line, ' ')), ' ', array_to_string(string_split(line, ' ')[1:3], ' ')) AS leaf FROM l WHERE line <> ''),
 left0 AS (SELECT leaf, line, any_value(ts) AS ts, count(DISTINCT doc_id) AS docs, count(DISTINCT t) AS texts FROM k GROUP BY leaf, line),
-""" + "".join(_ROUND.format(k=k, next=k + 1) for k in range(3)) + r"""
+rounds AS (
+  SELECT leaf, line, ts[4:] AS tail, docs, NULL::VARCHAR AS founder FROM left0 WHERE len(ts) > 3
+  UNION ALL (
+  WITH rest AS (SELECT leaf, line, tail, docs FROM rounds WHERE founder IS NULL),
+  each AS (SELECT leaf, line, docs, pos, tail[pos] AS token FROM (SELECT *, unnest(range(1, len(tail) + 1)) AS pos FROM rest)),
+  usual AS (SELECT leaf, pos, token, sum(docs) AS w FROM each GROUP BY ALL),
+  weighed AS (SELECT leaf, line, docs, sum(w) AS mass, count(*) AS n, arg_min((pos, token), (-w, pos, token)) FILTER (WHERE w > docs) AS home, min(token) FILTER (WHERE pos = 1) AS start FROM each JOIN usual USING (leaf, pos, token) GROUP BY leaf, line, docs),
+  able AS (SELECT *, row_number() OVER (PARTITION BY leaf, coalesce(home, (1::BIGINT, start)) ORDER BY mass DESC, docs DESC, line) AS place FROM weighed WHERE mass * 100 >= n * 60 * 10),
+  firsts AS (SELECT leaf, line, tail, row_number() OVER (PARTITION BY leaf ORDER BY mass DESC, a.docs DESC, line) AS rank FROM able a JOIN rest USING (leaf, line) WHERE place = 1),
+  few AS (SELECT * FROM firsts WHERE rank <= 8),
+  founders AS (SELECT * FROM few f WHERE NOT EXISTS (SELECT 1 FROM few g WHERE g.leaf = f.leaf AND g.rank < f.rank AND {agree_fg})),
+  joined AS (SELECT r.leaf, r.line, arg_min(f.line, f.rank) AS founder FROM rest r JOIN founders f ON f.leaf = r.leaf AND {agree_rf} GROUP BY r.leaf, r.line)
+  SELECT rest.leaf, rest.line, rest.tail, rest.docs, joined.founder FROM rest LEFT JOIN joined USING (leaf, line) WHERE leaf IN (SELECT leaf FROM founders))),
 placed AS (
-  SELECT leaf, line, '0' AS template FROM tried0 WHERE fits
-  UNION ALL SELECT leaf, line, '1' FROM tried1 WHERE fits
-  UNION ALL SELECT leaf, line, '2' FROM tried2 WHERE fits
-  UNION ALL SELECT leaf, line, line FROM left3),
+  SELECT leaf, line, coalesce(founder, line) AS template
+  FROM left0 LEFT JOIN (SELECT leaf, line, founder FROM rounds WHERE founder IS NOT NULL) USING (leaf, line)),
+""".replace("{agree_fg}", _AGREE.format(a="f", b="g")).replace("{agree_rf}", _AGREE.format(a="r", b="f")) + r"""
 found AS (
   SELECT leaf, template FROM k JOIN placed USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
 gone AS (
