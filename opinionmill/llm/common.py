@@ -54,13 +54,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str =
     """At most `rows` labelled texts, picked by a hash of their id label by label: columns text, label.
 
     Every label gets an equal share; what a rare one leaves goes to the others.
-    `labels` has id_col, once each, and label; null labels and ids are left out.
-    More labels than `rows` are an error.  The picked labels are at most `rows`,
-    so they are broadcast and the texts aren't moved.
+    Only ids that `docs` has count; an id with several rows gives the text with
+    the smallest hash, one with several labels the smallest label; null labels
+    and ids are left out.  More labels than `rows` are an error.  The picked
+    labels are at most `rows`, so they are broadcast and the texts aren't moved.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col("label").isNotNull()).select(F.col(id_col).alias("__id"), "label", F.xxhash64(id_col, F.lit(7)).alias("__hash"))
+    ids = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
+    known = labels.where(F.col("label").isNotNull()).select(F.col(id_col).alias("__id"), "label").groupBy("__id").agg(F.min("label").alias("label"))
+    known = cut(known.join(ids, "__id", "left_semi").withColumn("__hash", F.xxhash64("__id", F.lit(7))))
     # Only the first parts of the hash range that hold `rows` rows of a label are ranked, so that no label is one task.
-    part = F.shiftright("__hash", 52)
+    part = F.shiftright("__hash", 48)
     counts = known.groupBy("label", part.alias("__part")).agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("label").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     lasts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("ahead") < rows).groupBy("label").agg(F.max("__part").alias("__last"))
@@ -70,5 +73,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str =
     near = known.join(F.broadcast(docs.sparkSession.createDataFrame(found, lasts.schema)), "label").where(part <= F.col("__last"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("__hash", "__id"))
     picked = near.withColumn("__rank", rank).orderBy("__rank", "__hash", "__id", "label").limit(rows).select("__id", "label")
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(picked), "__id").select("text", "label").repartition(SAMPLE_PARTS))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "__id")
+    first = texts.groupBy("__id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    return cut(first.select("text", "label").repartition(SAMPLE_PARTS))

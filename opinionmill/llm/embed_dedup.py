@@ -20,7 +20,8 @@ the pairs.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths don't compare, and there may be
 any number of lengths; repeated rows are linked with each other, like any equal
-vectors; null ids link with nothing; ids that are no integers are an error;
+vectors; an id with several vectors has the most links that one of them has, and
+the smallest component; null ids link with nothing; ids that are no integers are an error;
 other columns are not read; an empty table gives an empty result.
 """
 
@@ -269,7 +270,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("vector").isNotNull() & F.col("__id").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     valid = rows.where(F.coalesce(good, F.lit(False)))
-    classes = cut(valid.groupBy("vector").agg(F.min("__id").alias("rep"), F.count("*").alias("weight")).withColumn("length", F.size("vector")))
+    # An id may have several vectors, so a class of equal ones is known by a number of its own, fixed by the checkpoint.
+    classes = valid.groupBy("vector").agg(F.min("__id").alias("first"), F.count("*").alias("weight")).withColumn("length", F.size("vector"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     sizes = classes.groupBy("length").agg(F.count("*").alias("n"))
     # Lengths with more vectors than a box have boxes of their own; of the others the most usual ones do.
     own = sizes.where(F.col("n") > BOX_ROWS).collect()
@@ -293,11 +296,13 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     labels = components(links)
     degree = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     by_class = (
-        classes.select("rep", "weight")
+        classes.select("rep", "weight", "first")
         .join(degree, "rep", "left")
         .join(labels, F.col("rep") == F.col("node"), "left")
-        .select("rep", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("rep", "first", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
+    names = by_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_class = by_class.join(names, "component")
     linked = members.select("__id", "rep").join(by_class, "rep").select("__id", "n_links", "component_id").groupBy("__id").agg(
         F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")
     )

@@ -87,9 +87,17 @@ def fit(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text_col:
         return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
     order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "text"))
     each = max(1, min(landmarks, MAX_LANDMARKS // len(names)))
-    marks = sorted(sample.withColumn("n", order).where(F.col("n") <= each).select("label", "n", "text").collect())
-    column = pa.array([r["text"] for r in marks], pa.large_string())
-    z = np.concatenate([presence(data, offsets) for _, _, data, offsets in _pieces(column)])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop, data, offsets in _pieces(batch.column(2)):
+                bits = np.packbits(presence(data, offsets) > 0, axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, stop - first) for c in (0, 1)), pa.array([b.tobytes() for b in bits], pa.binary())], names=["label", "n", "bits"])
+
+    # The landmarks' n-gram bits, not their texts, go to the driver.
+    marks = sample.withColumn("n", order).where(F.col("n") <= each).select("label", "n", "text").mapInArrow(marked, "label string, n int, bits binary").collect()
+    bits = np.array([np.frombuffer(r["bits"], dtype=np.uint8) for r in sorted(marks, key=lambda r: (r["label"], r["n"]))])
+    z = np.unpackbits(bits, axis=1, count=1 << BITS).astype(np.float32)
     shared = sample.sparkSession.sparkContext.broadcast(z)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

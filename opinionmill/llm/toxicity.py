@@ -8,13 +8,14 @@ each bucket, so a text's score is the mean weight of its n-grams, read in one
 narrow pass without a shuffle.
 
 Training uses at most `train_rows` labelled documents, picked by a hash of
-their id class by class, and weighs the KEPT_BUCKETS buckets with the most
+their id class by class, and weighs the `kept_buckets` buckets with the most
 evidence.  Labels, language, source and id are no features.
 
 Defined cases: null text is empty; an empty text scores by the intercept
 alone; long texts are read whole, in windows; a document labelled twice counts
 as toxic if any label says so; with labels of one class only, every score is
-that class's share, 0.5 with no labels at all; repeated rows are scored each.
+that class's share, 0.5 with no labels at all; repeated rows are scored each; null ids are scored,
+and no label is theirs; other columns are not read.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def _features(sample: DataFrame, scale: np.ndarray) -> tuple[Counts, np.ndarray]
     return matrix, np.array(labels, dtype=float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, l2: float = 1e-3) -> Model:
-    """Fit on documents whose id is in `labels` (id_col, label: above 0 is toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, l2: float = 1e-3, kept_buckets: int = KEPT_BUCKETS) -> Model:
+    """Fit on documents whose id is in `labels` (id_col, label: above 0 is toxic); 1 << BITS buckets are all."""
     once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("label") > 0).cast("long").alias("label"))
     sample = labelled_sample(docs, once, train_rows, id_col, text_col)
     counts = _presence(sample)
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # A bucket that no text has would show the classes' sizes only.
     absent = present.sum(axis=0) == 0
     evidence[absent], ratio[absent] = 0, 0
-    ratio[np.argsort(-evidence, kind="stable")[KEPT_BUCKETS:]] = 0
+    ratio[np.argsort(-evidence, kind="stable")[kept_buckets:]] = 0
     matrix, y = _features(sample, 100 * ratio)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     used = np.flatnonzero(ratio)
