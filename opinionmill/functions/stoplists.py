@@ -17,6 +17,30 @@ haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't sho
 shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 
+# What the list applied when features are made has besides, and words of the first list that it lacks (no word with an apostrophe is in it).
+MORE = """
+across afterwards almost alone along already also although always among amongst amoungst
+amount another anyhow anyone anything anyway anywhere around back became become becomes
+becoming beforehand behind beside besides beyond bill bottom call cannot cant co con
+could couldnt cry de describe detail done due eg eight either eleven else elsewhere
+empty enough etc even ever every everyone everything everywhere except fifteen fifty
+fill find fire first five former formerly forty found four front full get give go hasnt
+hence hereafter hereby herein hereupon however hundred ie inc indeed interest keep last
+latter latterly least less ltd made many may meanwhile might mill mine moreover mostly
+move much must name namely neither never nevertheless next nine nobody none noone
+nothing nowhere often one onto others otherwise part per perhaps please put rather see
+seem seemed seeming seems serious several show side since sincere six sixty somehow
+someone something sometime sometimes somewhere still system take ten thence thereafter
+thereby therefore therein thereupon thick thin third though three throughout thru thus
+together top toward towards twelve twenty two un upon us via well whatever whence
+whenever whereafter whereas whereby wherein whereupon wherever whether whither whoever
+whole whose within without would yet
+""".split()
+LESS = """
+theirs having does did doing s t just don d ll m o ve y ain aren couldn didn doesn hadn
+hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
+""".split()
+
 
 def cleaning_words(keep_not: bool = True) -> list[str]:
     """The list used while cleaning; with negation handling `not` stays in the text."""
@@ -24,8 +48,9 @@ def cleaning_words(keep_not: bool = True) -> list[str]:
 
 
 def vectoriser_words() -> list[str]:
-    """The default second list, applied when features are made; it holds `not`, so a bare `not` dies and `not_good` lives.
+    """The default second list (318 words), applied when features are made; it holds `not`, so a bare `not` dies and `not_good` lives.
 
     Every function that uses it takes another list as a parameter.
     """
-    return list(ENGLISH)
+    shared = [w for w in ENGLISH if "'" not in w and w not in LESS]
+    return sorted(shared + MORE)

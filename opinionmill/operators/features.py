@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,10 +30,14 @@ def unit_rows(weights: DataFrame) -> DataFrame:
     return weights.select("id", "term", (F.col("weight") / norm).alias("weight"))
 
 
+def idf_of(df: Column, n_docs: int, use_idf: bool = True) -> Column:
+    """Smoothed inverse document frequency: as if one more document had every term."""
+    return F.log((1 + F.lit(n_docs)) / (1 + df)) + 1 if use_idf else F.lit(1.0)
+
+
 def fit_tfidf(counts: DataFrame, n_docs: int, min_df: int = 5, max_df: float = 0.8, max_features: int = 5000, use_idf: bool = True) -> DataFrame:
     """term, df, ctf, idf of the vocabulary, at most max_features rows."""
-    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1 if use_idf else F.lit(1.0)
-    return vocabulary(counts, n_docs, min_df, max_df, max_features).withColumn("idf", idf)
+    return vocabulary(counts, n_docs, min_df, max_df, max_features).withColumn("idf", idf_of(F.col("df"), n_docs, use_idf))
 
 
 def tfidf(counts: DataFrame, model: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.labels import NEGATIVE, POSITIVE, normalise
 from ..functions.stoplists import cleaning_words, vectoriser_words
-from ..operators import columns, features, metrics, ml, naive_bayes, preprocess, profile, split, vocabulary, words
+from ..operators import columns, features, metrics, ml, naive_bayes, preprocess, profile, split, tuning, vocabulary, words
 from ..session import shared_folder
 from ..sources import csv, files, registry
 from ..streaming import jobs
@@ -398,10 +399,43 @@ each AS (SELECT x.label, (SELECT n FROM matrix WHERE label = x.label AND predict
 ratios AS (SELECT label AS class, coalesce(tp / nullif(p, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(t, 0)::DOUBLE, 0) AS recall, t AS support, tp FROM each),
 report AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ratios)"""
     total = """(SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1, sum(support)::BIGINT AS n FROM report)"""
-    unigrams = base.replace("list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))", "ts")
     hashed_rows = f"{_counts_sql(['']).split('spread AS')[0]} spread AS (SELECT id, unnest(ts) AS term FROM toks), counts AS (SELECT id, term, count(*) AS tf FROM spread GROUP BY ALL), weights AS (SELECT id, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id))::DOUBLE AS w FROM counts)"
-    del unigrams
+    grid = f"""{_counts_sql([''])},
+learnt AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key(42, 'id')}, id) AS r FROM marked WHERE NOT is_test),
+shares AS (SELECT label, count(*) * 10000 / (SELECT count(*) FROM learnt)::DOUBLE AS x FROM learnt GROUP BY label),
+quotas AS (SELECT label, floor(x) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, label) <= 10000 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM shares),
+folded AS (SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY r) - 1) % 3)::INT AS fold FROM learnt JOIN quotas USING (label) WHERE r <= quota OR (SELECT count(*) FROM learnt) <= 20000),
+c AS (SELECT counts.*, label, fold FROM counts JOIN folded USING (id)),
+settings AS (SELECT ngrams, mf, lo, hi, row_number() OVER () AS v FROM (SELECT unnest({tuning.GRID_NGRAMS}) AS ngrams), (SELECT unnest({tuning.GRID_FEATURES}) AS mf), (SELECT unnest({tuning.GRID_MIN_DF}::DOUBLE[]) AS lo), (SELECT unnest({tuning.GRID_MAX_DF}::DOUBLE[]) AS hi)),
+alphas AS (SELECT unnest({tuning.GRID_ALPHA}::DOUBLE[]) AS a),
+ks AS (SELECT unnest([0, 1, 2]) AS k),
+sizes AS (SELECT k, count(*) AS n FROM folded JOIN ks ON fold <> k GROUP BY k),
+stats AS (SELECT k, term, count(*) AS df, sum(tf) AS ctf FROM c JOIN ks ON fold <> k GROUP BY k, term),
+held AS (SELECT * FROM (SELECT v, mf, k, n, term, df, row_number() OVER (PARTITION BY v, k ORDER BY ctf DESC, term) AS place FROM stats JOIN sizes USING (k) JOIN settings ON df >= lo AND df <= hi * n AND (ngrams = 2 OR NOT contains(term, ' '))) WHERE place <= mf),
+ws AS (SELECT v, k, id, label, fold, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN held USING (term)),
+us AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY v, k, id)) AS u FROM ws),
+sums AS (SELECT v, k, term, label, sum(u) AS s FROM us WHERE fold <> k GROUP BY ALL),
+totals AS (SELECT v, k, label, sum(s) AS total FROM sums GROUP BY ALL),
+rooms AS (SELECT v, k, count(*) AS size FROM held GROUP BY ALL),
+classes AS (SELECT k, label AS class, ln(count(*) / any_value(n)::DOUBLE) AS prior FROM folded JOIN ks ON fold <> k JOIN sizes USING (k) GROUP BY k, label),
+gained AS (
+  SELECT us.v, us.k, us.id, class, a, sum(u * (ln(coalesce(s, 0) + a) - ln(coalesce(total, 0) + a * size))) AS g
+  FROM us JOIN classes ON classes.k = us.k JOIN rooms ON rooms.v = us.v AND rooms.k = us.k CROSS JOIN alphas
+  LEFT JOIN totals ON totals.v = us.v AND totals.k = us.k AND totals.label = class LEFT JOIN sums ON sums.v = us.v AND sums.k = us.k AND sums.term = us.term AND sums.label = class
+  WHERE us.fold = us.k GROUP BY ALL),
+scored AS (
+  SELECT f.id, f.label, f.fold, c.class, s.v, alphas.a, prior + coalesce(g, 0) AS score
+  FROM folded f JOIN classes c ON c.k = f.fold CROSS JOIN settings s CROSS JOIN alphas LEFT JOIN gained g ON g.v = s.v AND g.k = f.fold AND g.id = f.id AND g.class = c.class AND g.a = alphas.a),
+predicted AS (SELECT id, label, fold, v, a, arg_min(class, (-round(score, 9), class)) AS prediction FROM scored GROUP BY id, label, fold, v, a),
+names AS (SELECT label AS class FROM predicted UNION SELECT prediction FROM predicted),
+f AS (SELECT fold, v, a, class, 2 * count(*) FILTER (WHERE label = class AND prediction = class) / nullif(count(*) FILTER (WHERE label = class) + count(*) FILTER (WHERE prediction = class), 0)::DOUBLE AS f1, count(*) FILTER (WHERE label = class) AS t FROM predicted CROSS JOIN names GROUP BY ALL),
+by_fold AS (SELECT fold, v, a, sum(coalesce(f1, 0) * t) / sum(t) AS f1 FROM f GROUP BY ALL)
+SELECT ngrams, mf AS max_features, lo AS min_df, hi AS max_df, a AS alpha, round(avg(f1), 6) AS f1 FROM by_fold JOIN settings USING (v) GROUP BY ALL"""
+    pairs = hashed_rows.replace("unnest(ts) AS term", "unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term")
     return {
+        "nb_grid_scores": f"WITH {grid}",
+        "tfidf_vectors": f"WITH {base}, {_vocabulary_sql('counts', n_all)}, {_weights_sql(n_all)} SELECT id, term, round(w, 6) AS weight FROM weights",
+        "hashed_pairs": f"WITH {pairs} SELECT id, term, round(w, 6) AS weight FROM weights",
         "vocabulary_pruned": f"WITH {base}, {_vocabulary_sql('counts', n_all)} SELECT term, df, ctf FROM vocab",
         "tfidf_weights": f"WITH {base}, {_vocabulary_sql('counts', n_all)}, {_weights_sql(n_all)} SELECT id, term, round(w, 6) AS weight FROM weights",
         "feature_names": f"WITH {base}, {_vocabulary_sql('counts', n_all)} SELECT (row_number() OVER (ORDER BY term) - 1)::INT AS idx, term FROM vocab",
@@ -433,6 +467,23 @@ def tfidf_weights(spark, sf_dir):
     return features.fit_transform_tfidf(corpus(spark, sf_dir), "id", "text")[0].withColumn("weight", r6("weight"))
 
 
+@register("tfidf_vectors")
+def tfidf_vectors(spark, sf_dir):
+    """The weights of tfidf_weights, made by the Spark ML stages that the classifiers use."""
+    rows = corpus(spark, sf_dir).select("id", F.coalesce("text", F.lit("")).alias("processed_text"))
+    model = Pipeline(stages=ml.feature_stages(stop_words=vectoriser_words())).fit(rows)
+    vector = F.unwrap_udt("features")
+    found = model.transform(rows).select("id", F.explode(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("weight"))).alias("x"))
+    names = spark.createDataFrame(list(enumerate(model.stages[-1].vocabulary)), "at int, term string")
+    return found.select("id", "x.*").join(F.broadcast(names), "at").select("id", "term", r6("weight").alias("weight"))
+
+
+@register("hashed_pairs")
+def hashed_pairs(spark, sf_dir):
+    """Words and pairs with the weights that they have before they are hashed to buckets."""
+    return features.hashed(corpus(spark, sf_dir), "id", "text", 1 << 18, (1, 2), by_term=True).withColumn("weight", r6("weight"))
+
+
 @register("feature_names")
 def feature_names(spark, sf_dir):
     return features.feature_names(vocabulary_pruned(spark, sf_dir))
@@ -470,6 +521,15 @@ def nb_predict_proba(spark, sf_dir):
     return _predicted(spark, sf_dir).select("id", F.explode("probabilities").alias("label", "p")).select("id", "label", r6("p").alias("probability"))
 
 
+@register("nb_grid_scores")
+def nb_grid_scores(spark, sf_dir):
+    """Cross-validated F1 of all 64 settings of naive Bayes, on the rows that cross_validate tunes on."""
+    docs = corpus(spark, sf_dir)
+    training = split.stratified_split(docs.select("id", "label"), "id", "label").where(~F.col("is_test")).drop("is_test")
+    folded = _stored(split.folds(split.tuning_subset(training, "id", "label"), "id", "label", 3), "folds")
+    return tuning.naive_bayes_grid(docs.drop("label").join(folded, "id")).withColumn("f1", r6("f1"))
+
+
 @register("nb_log_odds")
 def nb_log_odds(spark, sf_dir):
     return naive_bayes.log_odds(_nb(spark, sf_dir)[0]).withColumn("weight", r6("weight"))
@@ -561,7 +621,7 @@ def train_logreg(spark, sf_dir):
 
 @register("train_svm")
 def train_svm(spark, sf_dir):
-    return ml.evaluate(_trained(spark, sf_dir, ml.SVM, use_hashing=True))
+    return ml.evaluate(_trained(spark, sf_dir, ml.SVM))
 
 
 @register("train_forest")
