@@ -295,56 +295,122 @@ def _phrases(found: Runs, width: int, at: np.ndarray) -> pa.Array:
     return parts[0] if width == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
-def _exact(docs: DataFrame, longest: int, passing: Filter) -> DataFrame:
-    """lang, phrase, width, n of the runs that pass; width 0 has all word occurrences of a language."""
+@dataclass
+class _Counted:
+    """Phrases of one task with their language, hash and count, summed up now and then."""
+
+    tables: list[pa.Table]
+    size: int = 0
+
+    def add(self, langs: pa.Array, phrases: pa.Array, hashed: np.ndarray) -> None:
+        rows = pa.table({"lang": langs, "phrase": phrases, "hash": pa.array(hashed.astype(np.int64))}).group_by(["lang", "phrase"]).aggregate([("hash", "min"), ([], "count_all")])
+        self.put(rows["lang"], rows["phrase"], rows["hash_min"], rows["count_all"].cast(pa.int64()))
+
+    def put(self, *columns: pa.Array) -> None:
+        self.tables.append(pa.table(list(columns), names=["lang", "phrase", "hash", "n"]))
+        self.size += len(self.tables[-1])
+
+    def sum(self) -> pa.Table:
+        whole = pa.concat_tables(self.tables).group_by(["lang", "phrase"]).aggregate([("hash", "min"), ("n", "sum")])
+        whole = pa.table([whole["lang"], whole["phrase"], whole["hash_min"], whole["n_sum"]], names=["lang", "phrase", "hash", "n"]).combine_chunks()
+        self.tables, self.size = [whole], len(whole)
+        return whole
+
+
+def _dealt(rows: pa.Table, shift: int) -> pa.RecordBatch:
+    """range, lang, n, size, phrases, counts: the phrases of each range and language as one text, a line each, and their counts."""
+    home = rows["hash"].to_numpy() >> shift
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+    code = np.asarray(langs.indices)
+    order = np.lexsort((code, home))
+    edges = np.flatnonzero(np.append(True, (home[order][1:] != home[order][:-1]) | (code[order][1:] != code[order][:-1])))
+    ends = np.append(edges, len(order)).astype(np.int32)
+    phrases = rows["phrase"].combine_chunks().take(pa.array(order))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), phrases), "\n").to_pylist()
+    counts, texts = rows["n"].to_numpy()[order], [t.encode() for t in texts]
+    pressed = lambda data: pa.compress(data, codec="zstd", asbytes=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(home[order][edges]), langs.dictionary.take(pa.array(code[order][edges])), pa.array(np.diff(ends).astype(np.int64)), pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([pressed(t) for t in texts], pa.binary()), pa.array([pressed(counts[i:j].astype("<i8").tobytes()) for i, j in zip(ends, ends[1:])], pa.binary()),
+        ],
+        names=["range", "lang", "n", "size", "phrases", "counts"],
+    )
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, n of a range's and language's phrases that occur `least` times, and of the empty phrase."""
+    key, tables, size = None, [], 0
+
+    def sums() -> pa.Table:
+        whole = pa.concat_tables(tables).group_by("phrase").aggregate([("n", "sum")])
+        return pa.table([whole["phrase"], whole["n_sum"]], names=["phrase", "n"])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if tables:
+            rows = sums()
+            rows = rows.filter(pc.or_(pc.greater_equal(rows["n"], least), pc.equal(rows["phrase"], ""))).combine_chunks()
+            for part in rows.to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(part), pa.string()), *part.columns], names=["lang", "phrase", "n"])
+
+    for batch in batches:
+        for row in range(len(batch)):
+            at, lang, n, length, phrases, counts = (c[row].as_py() for c in batch.columns)
+            if (at, lang) != key:
+                yield from out()
+                key, tables, size = (at, lang), [], 0
+            text = pa.array([pa.decompress(phrases, length, codec="zstd", asbytes=True).decode()])
+            found = np.frombuffer(pa.decompress(counts, 8 * n, codec="zstd", asbytes=True), dtype="<i8")
+            tables.append(pa.table([pc.split_pattern(text, "\n").flatten(), pa.array(found)], names=["phrase", "n"]))
+            size += n
+            if size >= EXACT_ROWS:
+                tables = [sums()]
+                size = len(tables[0]) // 2
+    yield from out()
+
+
+def _exact(docs: DataFrame, longest: int, passing: Filter, least: int) -> DataFrame:
+    """lang, phrase, n of the runs that pass and occur `least` times; the empty phrase has all word occurrences of a language.
+
+    Tasks deal their counts out by the same ranges of the hash, packed; a
+    range's task sums up a bounded number of phrases.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(passing)
-    names = ["lang", "phrase", "width", "n"]
-
-    def summed(tables: list[pa.Table]) -> pa.Table:
-        whole = pa.concat_tables(tables)
-        return whole.group_by(names[:3]).aggregate([("n", "sum")]).select([*names[:3], "n_sum"]).rename_columns(names)
-
-    def counted(langs: pa.Array, phrases: pa.Array, width: int) -> pa.Table:
-        rows = pa.table({"lang": langs, "phrase": phrases}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-        return pa.table([rows["lang"], rows["phrase"], pa.array(np.full(len(rows), width)), rows["count_all"].cast(pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, size = [], 0
+        gathered = _Counted([])
         for batch in batches:
             seeds = np.asarray(batch.column(1)).astype(np.int64).view(np.uint64)
             for row, stop, data, offsets in parts(batch.column(0)):
                 found = runs(data, offsets)
                 langs = batch.column(2).slice(row, stop - row)
                 words = long_span_hashes(found.data, found.starts, found.stops)
+                each = pa.table({"lang": langs, "n": pa.array(np.bincount(found.rows, minlength=stop - row))}).group_by("lang").aggregate([("n", "sum")])
+                gathered.put(each["lang"], pa.array([""] * len(each)), pa.array(np.zeros(len(each), dtype=np.int64)), each["n_sum"])
                 for width in range(1, longest + 1):
                     places = found.places(width)
-                    if width == 1:
-                        each = np.bincount(found.rows, minlength=stop - row)
-                        whole = pa.table({"lang": langs, "n": pa.array(each)}).group_by("lang").aggregate([("n", "sum")])
-                        tables.append(pa.table([whole["lang"], pa.array([""] * len(whole)), pa.array(np.zeros(len(whole), dtype=np.int64)), whole["n_sum"]], names=names))
-                    at = places[shared.value.has(hashes(found, seeds[row:stop], width, words, places))]
-                    tables.append(counted(langs.take(pa.array(found.rows[at])), _phrases(found, width, at), width))
-                    size += len(tables[-1])
-                if size >= EXACT_ROWS:
-                    tables = [summed(tables)]
-                    size = len(tables[0])
-                    if 2 * size >= EXACT_ROWS:
-                        yield from tables[0].combine_chunks().to_batches(max_chunksize=1 << 16)
-                        tables, size = [], 0
+                    hashed = hashes(found, seeds[row:stop], width, words, places)
+                    at = shared.value.has(hashed)
+                    gathered.add(langs.take(pa.array(found.rows[places[at]])), _phrases(found, width, places[at]), hashed[at])
+                if gathered.size >= EXACT_ROWS and 2 * len(gathered.sum()) >= EXACT_ROWS:
+                    yield _dealt(gathered.tables[0], passing.shift)
+                    gathered = _Counted([])
                     pa.default_memory_pool().release_unused()
-        if tables:
-            yield from summed(tables).combine_chunks().to_batches(max_chunksize=1 << 16)
+        if gathered.tables:
+            yield _dealt(gathered.sum(), passing.shift)
 
-    rows = docs.select("text", F.xxhash64("lang").alias("seed"), "lang")
-    return rows.mapInArrow(run, "lang string, phrase string, width long, n long").groupBy("lang", "phrase", "width").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", F.xxhash64("lang").alias("seed"), "lang").mapInArrow(run, "range long, lang string, n long, size long, phrases binary, counts binary")
+    rows = rows.repartition("range").sortWithinPartitions("range", "lang")
+    return rows.mapInArrow(lambda batches: _summed(batches, least), "lang string, phrase string, n long")
 
 
 def frequent_runs(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10) -> DataFrame:
-    """lang, phrase, width, n of all runs of 1 to `longest` words that occur `least` times; width 0 is a language's words."""
+    """lang, phrase, n of all runs of 1 to `longest` words that occur `least` times; the empty phrase has a language's words."""
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     ranges = _ranges(docs)
     passing = _filter(_survivors(_counted(docs, longest, ranges), least), ranges)
-    return cut(_exact(docs, longest, passing).where((F.col("n") >= least) | (F.col("width") == 0)))
+    return cut(_exact(docs, longest, passing, least))
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, contained: int = 50, top: int = 2000) -> DataFrame:
@@ -354,14 +420,14 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     more is dropped.
     """
     found = frequent_runs(df, text_col, lang_col, longest, least)
-    counts = found.where("width > 0")
-    phrases = counts.where("width > 1").select("lang", "phrase", "width", F.col("n").alias("a"))
-    # What lies inside a longer candidate, with the most frequent of those.
+    counts = found.where("phrase <> ''")
     words = F.split("phrase", " ")
-    inner = F.expr("flatten(transform(sequence(2, cast(width as int) - 1), m -> transform(sequence(1, cast(width as int) - m + 1), i -> array_join(slice(split(phrase, ' '), i, m), ' '))))")
+    phrases = counts.select("lang", "phrase", F.size(words).alias("width"), F.col("n").alias("a")).where("width > 1")
+    # What lies inside a longer candidate, with the most frequent of those.
+    inner = F.expr("flatten(transform(sequence(2, width - 1), m -> transform(sequence(1, width - m + 1), i -> array_join(slice(split(phrase, ' '), i, m), ' '))))")
     longer = phrases.where("width > 2").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("outer"))
     kept = phrases.join(longer, ["lang", "phrase"], "left").where(F.col("outer").isNull() | (100 * F.col("outer") < contained * F.col("a"))).drop("outer")
-    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("width").cast("int") - 1)))
+    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("width") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(words, 1, F.col("k")), " ").alias("left"), F.array_join(F.slice(words, F.col("k") + 1, F.size(words)), " ").alias("right"))
     part = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     cuts = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
@@ -373,4 +439,4 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     salted = best.withColumn("salt", F.pmod(F.xxhash64("phrase", F.lit(5)), F.lit(SALTS)))
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top).drop("salt", "rank")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(if_small(found.where("width = 0").select("lang", "n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(if_small(found.where("phrase = ''").select("lang", "n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
