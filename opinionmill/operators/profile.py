@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalise
+from .quantiles import exact_quantiles
 
 
 def complete(df: DataFrame, text_col: str, sentiment_col: str) -> DataFrame:
@@ -34,12 +35,17 @@ def with_text_length(df: DataFrame, text_col: str) -> DataFrame:
 def text_length_stats(df: DataFrame, text_col: str, approximate: bool = False) -> DataFrame:
     """n, mean, std, min, p25, p50, p75, max of text lengths, null texts left out.
 
-    Exact quantiles are merged as counts of each length, so memory grows with
-    the number of different lengths; `approximate` bounds it.
+    Exact quartiles come from a few passes with bounded buffers; `approximate`
+    ones from a sketch in the same pass as the rest.
     """
     size = F.length(text_col)
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = F.percentile_approx(size, [0.25, 0.5, 0.75], 10_000) if approximate else F.percentile(size, at)
+    shares = [0.25, 0.5, 0.75]
+    if approximate:
+        quartiles = F.percentile_approx(size, shares, 10_000)
+    else:
+        found = exact_quantiles(df, size, shares)
+        quartiles = F.array(*[F.lit(q).cast("double") for q in found or [None] * 3])
+        quartiles = F.first(quartiles)
     row = df.agg(
         F.count(size).alias("n"), F.avg(size).alias("mean"), F.stddev_samp(size).alias("std"), F.min(size).alias("min"), F.max(size).alias("max"), quartiles.alias("q")
     )
@@ -56,9 +62,18 @@ def class_list(df: DataFrame, sentiment_col: str) -> DataFrame:
     return df.select(normalise(F.col(sentiment_col)).alias("label")).distinct().orderBy("label")
 
 
-def keep_classes(df: DataFrame, label_col: str, classes: DataFrame) -> DataFrame:
-    """Rows whose label is among `classes` (column label)."""
-    return df.join(classes.select(F.col("label").alias(label_col)).distinct(), label_col, "left_semi")
+def keep_classes(df: DataFrame, label_col: str, classes: DataFrame, dropped: Observation | None = None) -> DataFrame:
+    """Rows whose label is among `classes` (column label).
+
+    `dropped` observes `kept` and `dropped` rows while the result is computed,
+    without a job of its own.
+    """
+    known = classes.select(F.col("label").alias(label_col)).distinct()
+    if dropped is None:
+        return df.join(known, label_col, "left_semi")
+    marked = df.join(known.withColumn("__known", F.lit(True)), label_col, "left")
+    counted = marked.observe(dropped, F.count_if("__known").alias("kept"), F.count_if(F.col("__known").isNull()).alias("dropped"))
+    return counted.where("__known").select(*df.columns)
 
 
 def binary_only(df: DataFrame, label_col: str) -> DataFrame:

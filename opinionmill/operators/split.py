@@ -68,3 +68,20 @@ def exact_sample(df: DataFrame, id_col: str, n: int | None = None, seed: int = 4
 def thinned(df: DataFrame, id_col: str, label_col: str, share: float = 0.5, seed: int = 42) -> DataFrame:
     """A share of the rows by hash, for training on less than all; apply it after labels are normalised."""
     return df.where(F.col(label_col).isNotNull() & (hash_share(id_col, seed) < share))
+
+
+def thinned_by_position(df: DataFrame, position_col: str = "position", chunk_rows: int = 20_000, least: int = 10) -> DataFrame:
+    """A quarter of the chunks of a large file, `least` at least: a first and a last third of them whole, in between every so many.
+
+    Chunks are runs of `chunk_rows` rows by position (see
+    `sources.positions.with_positions`); whether a row stays follows from its
+    position and the number of rows alone.
+    """
+    total = max(1, df.count() // chunk_rows)
+    kept = max(least, total // 4)
+    edge = kept // 3
+    middle = (total - 2 * edge) // (kept - 2 * edge)
+    chunk = F.floor(F.col(position_col) / chunk_rows)
+    if middle <= 1:
+        return df
+    return df.where((chunk <= edge) | (chunk >= total - edge) | ((chunk - edge) % middle == 0))

@@ -18,8 +18,8 @@ from ..functions.labels import NEGATIVE, POSITIVE, normalise
 from ..functions.stoplists import cleaning_words, vectoriser_words
 from ..operators import columns, features, metrics, ml, naive_bayes, preprocess, profile, split, tuning, vocabulary, words
 from ..session import shared_folder
-from ..sources import csv, files, registry
-from ..streaming import jobs
+from ..sources import csv, files, positions, registry, split_csv
+from ..streaming import jobs, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,6 +182,22 @@ def column_profile(spark, sf_dir):
     return columns.column_stats(reviews(spark, sf_dir)).withColumn("mean_length", r6("mean_length"))
 
 
+@register(
+    "detected_roles",
+    """WITH s AS (SELECT avg(length(text)) AS l, count(*) AS n, count(DISTINCT quality) AS q, count(DISTINCT doc_id) AS d, count(DISTINCT n_chars) AS c FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'documents' AS source, v AS variant, CASE WHEN l > 20 THEN 'c1' WHEN v = 'chunk' THEN 'c0' ELSE 'c1' END AS text_column,
+  CASE WHEN d <= 5 THEN 'c0' WHEN c <= 5 THEN 'c2' WHEN c < greatest(10, 0.1 * n) AND (c < d OR d >= greatest(10, 0.1 * n)) THEN 'c2' ELSE 'c0' END AS sentiment_column FROM s, (SELECT unnest(['full', 'chunk']) AS v)
+UNION ALL SELECT 'labelled', v, CASE WHEN l > 20 OR v = 'full' THEN 'c1' ELSE 'c0' END, CASE WHEN d <= 5 THEN 'c0' WHEN q <= 5 THEN 'c2' ELSE 'c0' END FROM s, (SELECT unnest(['full', 'chunk']) AS v)
+UNION ALL SELECT 'reviews', v, 'review_id', 'sentiment' FROM (SELECT unnest(['full', 'chunk']) AS v)""",
+)
+def detected_roles(spark, sf_dir):
+    """Text and sentiment columns told from names, and from content where names tell nothing."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    sources = {"documents": docs.select("doc_id", "text", "n_chars").toDF("c0", "c1", "c2"), "labelled": docs.select("doc_id", "text", "quality").toDF("c0", "c1", "c2"), "reviews": reviews(spark, sf_dir)}
+    found = [(name, variant, *columns.detect_columns(df, variant)) for name, df in sources.items() for variant in ("full", "chunk")]
+    return spark.createDataFrame(found, "source string, variant string, text_column string, sentiment_column string")
+
+
 @register("complete_rows", f"WITH {REVIEWS_SQL} SELECT * FROM reviews WHERE review_text IS NOT NULL AND sentiment IS NOT NULL")
 def complete_rows(spark, sf_dir):
     return profile.complete(reviews(spark, sf_dir), "review_text", "sentiment")
@@ -263,6 +279,27 @@ def wordcloud_weights(spark, sf_dir):
     return words.cloud_weights(labelled_reviews(spark, sf_dir), "tokens", "label", n=100).withColumn("weight", r6("weight"))
 
 
+_PART = "(ln(greatest({p}, 1e-10)) * {k} + ln(greatest(1 - {p}, 1e-10)) * ({n} - {k}))"
+PAIRS_SQL = f"""{CLEAN_SQL}, u AS (SELECT label, unnest(tokens) AS word FROM clean), n AS (SELECT label, word, count(*) AS n FROM u GROUP BY ALL),
+pairs AS (SELECT label, first, second, count(*)::DOUBLE AS k FROM (SELECT label, unnest(list_transform(range(1, len(tokens)), lambda i: {{'first': tokens[i], 'second': tokens[i + 1]}}), recursive := true) FROM clean) GROUP BY ALL),
+facts AS (SELECT p.*, a.n::DOUBLE AS one, b.n::DOUBLE AS two, t.n::DOUBLE AS whole FROM pairs p JOIN n a ON a.label = p.label AND a.word = p.first JOIN n b ON b.label = p.label AND b.word = p.second JOIN (SELECT label, sum(n) AS n FROM n GROUP BY label) t ON t.label = p.label),
+scores AS (SELECT label, first, second, k::BIGINT AS n, -2 * ({_PART.format(p='two / whole', k='k', n='one')} + {_PART.format(p='two / whole', k='(two - k)', n='(whole - one)')}
+  - {_PART.format(p='k / one', k='k', n='one')} - {_PART.format(p='(CASE WHEN whole > one THEN (two - k) / (whole - one) ELSE 0 END)', k='(two - k)', n='(whole - one)')}) AS score FROM facts),
+held AS (SELECT * FROM scores WHERE score > 30),
+spent AS (SELECT label, word, sum(n) AS n FROM (SELECT label, word, n FROM n UNION ALL SELECT label, first, -n FROM held UNION ALL SELECT label, second, -n FROM held) GROUP BY ALL HAVING sum(n) > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, word)::INT AS rank FROM (SELECT label, word, n::BIGINT AS n FROM spent UNION ALL SELECT label, first || ' ' || second, n FROM held))"""
+
+
+@register("pair_scores", f"WITH {PAIRS_SQL} SELECT label, first, second, n, round(score, 4) AS score FROM scores")
+def pair_scores(spark, sf_dir):
+    return words.pair_scores(labelled_reviews(spark, sf_dir), "tokens", "label").withColumn("score", F.round("score", 4))
+
+
+@register("wordcloud_phrases", f"WITH {PAIRS_SQL} SELECT label, word, n, rank, round(n / max(n) OVER (PARTITION BY label)::DOUBLE, 6) AS weight FROM top WHERE rank <= 100")
+def wordcloud_phrases(spark, sf_dir):
+    return words.cloud_phrases(labelled_reviews(spark, sf_dir), "tokens", "label").withColumn("weight", r6("weight"))
+
+
 # A lexicon for the words of the derived reviews.
 LEXICON = [("running", "v", "run"), ("jumping", "v", "jump"), ("driving", "v", "drive"), ("works", "v", "work"), ("working", "v", "work"), ("cars", "n", "car"), ("works", "n", "work")]
 LEXICON_SQL = "lexicon(form, pos, lemma) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LEXICON) + ")"
@@ -281,6 +318,19 @@ def lemmas(spark, sf_dir):
     return preprocess.preprocess(reviews(spark, sf_dir), "review_text", id_col="review_id", lexicon=lexicon).select("review_id", "processed_text")
 
 
+@register(
+    "noun_lemmas",
+    f"""WITH {CLEAN_SQL}, {LEXICON_SQL},
+u AS (SELECT review_id, unnest(range(len(tokens))) AS k, unnest(tokens) AS form FROM clean),
+m AS (SELECT form, max(lemma) AS lemma FROM lexicon WHERE pos = 'n' GROUP BY form),
+j AS (SELECT review_id, string_agg(coalesce(lemma, form), ' ' ORDER BY k) AS t FROM u LEFT JOIN m USING (form) GROUP BY review_id)
+SELECT review_id, coalesce(t, '') AS processed_text FROM clean LEFT JOIN j USING (review_id)""",
+)
+def noun_lemmas(spark, sf_dir):
+    lexicon = spark.createDataFrame(LEXICON, "form string, pos string, lemma string")
+    return preprocess.preprocess(reviews(spark, sf_dir), "review_text", id_col="review_id", lexicon=lexicon, mode="noun").select("review_id", "processed_text")
+
+
 @register("stem_tokens")
 def stem_tokens(spark, sf_dir):
     rows = preprocess.preprocess(reviews(spark, sf_dir), "review_text", perform_stemming=True, perform_lemmatization=False, id_col="review_id")
@@ -335,6 +385,19 @@ def thinned_rows(spark, sf_dir):
     return split.thinned(label_normalize(spark, sf_dir), "review_id", "label")
 
 
+@register(
+    "thinned_by_position",
+    """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position, count(*) OVER () AS n FROM orders),
+c AS (SELECT o_orderkey, position, position // 100 AS chunk, greatest(1, n // 100) AS total, greatest(10, greatest(1, n // 100) // 4) AS kept FROM p),
+e AS (SELECT *, kept // 3 AS edge, (total - 2 * (kept // 3)) // (kept - 2 * (kept // 3)) AS middle FROM c)
+SELECT o_orderkey, position FROM e WHERE middle <= 1 OR chunk <= edge OR chunk >= total - edge OR (chunk - edge) % middle = 0""",
+)
+def thinned_by_position(spark, sf_dir):
+    """The feature itself: chunks of 100 rows, the first and last ones whole, in between every so many."""
+    rows = positions.with_positions(table(spark, sf_dir, "orders")).select("o_orderkey", "position")
+    return split.thinned_by_position(rows, "position", 100)
+
+
 # -- features and naive Bayes -------------------------------------------------
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder for the several jobs that read them."""
@@ -444,6 +507,10 @@ SELECT ngrams, mf AS max_features, lo AS min_df, hi AS max_df, a AS alpha, round
         "nb_large_model": f"WITH {hashed_rows}, sums AS (SELECT label, term, sum(w) AS s FROM weights JOIN docs USING (id) GROUP BY ALL) SELECT label, term, round(ln(s + 1.5) - ln(sum(s) OVER (PARTITION BY label) + 1.5 * 262144), 6) AS lp FROM sums",
         "nb_predict": f"WITH {scored} SELECT id, label, prediction, round(confidence, 6) AS confidence FROM predicted",
         "nb_predict_proba": f"WITH {scored} SELECT id, label, round(p, 6) AS probability FROM (SELECT id, label, p FROM probs)",
+        "overall_importance": f"""WITH {model}, o AS (SELECT a.label AS class, a.term, a.lp - max(b.lp) AS weight FROM dense a JOIN dense b ON a.term = b.term AND a.label <> b.label GROUP BY a.label, a.term, a.lp),
+m AS (SELECT term, avg(abs(round(weight, 9))) AS weight FROM o GROUP BY term)
+SELECT row_number() OVER (ORDER BY weight DESC, term)::INT AS rank, term, round(weight, 6) AS weight FROM m ORDER BY rank LIMIT 15""",
+        "confidence_columns": f"WITH {scored} SELECT id, any_value(prediction) AS prediction, round(max(p) FILTER (WHERE label = 'negative'), 6) AS confidence_negative, round(max(p) FILTER (WHERE label = 'positive'), 6) AS confidence_positive FROM probs JOIN (SELECT id, prediction FROM predicted) USING (id) GROUP BY id",
         "nb_log_odds": f"""WITH {model}, o AS (SELECT a.label AS class, a.term, a.lp - max(b.lp) AS weight FROM dense a JOIN dense b ON a.term = b.term AND a.label <> b.label GROUP BY a.label, a.term, a.lp),
 r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(weight, 9) DESC, term)::INT AS rank FROM o) SELECT class, rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 20""",
         "confusion_matrix": f"WITH {matrix} SELECT label, prediction, n FROM matrix",
@@ -535,6 +602,21 @@ def nb_log_odds(spark, sf_dir):
     return naive_bayes.log_odds(_nb(spark, sf_dir)[0]).withColumn("weight", r6("weight"))
 
 
+@register("overall_importance")
+def overall_importance(spark, sf_dir):
+    """Terms by their mean absolute log-odds over the classes, in the order in which they are shown."""
+    odds = naive_bayes.log_odds(_nb(spark, sf_dir)[0], n=1 << 30).select("class", "term", F.round("weight", 9).alias("coefficient"))
+    shown = ml.display_order(ml.importance(odds, 20).where("class = 'all'"))
+    return shown.select("rank", "term", r6("weight").alias("weight"))
+
+
+@register("confidence_columns")
+def confidence_columns(spark, sf_dir):
+    """Predictions with one column a class, picked by their prefix."""
+    wide = naive_bayes.confidence_columns(_predicted(spark, sf_dir), ["negative", "positive"])
+    return columns.with_prefix(wide.withColumns({c: r6(c) for c in wide.columns if c.startswith("confidence_")}), ["id", "prediction"])
+
+
 @register("confusion_matrix")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(_predicted(spark, sf_dir))
@@ -584,6 +666,45 @@ def tolerant_csv(spark, sf_dir):
     return csv.read_tolerant(spark, path).withColumn("rating", F.col("rating").cast("double"))
 
 
+@register(
+    "tolerant_csv_blanks",
+    "SELECT o_orderkey AS id, lower(o_orderstatus) AS status, (o_orderkey % 6)::DOUBLE AS rating FROM orders WHERE o_orderkey % 10 <> 7",
+)
+def tolerant_csv_blanks(spark, sf_dir):
+    """As tolerant_csv, with fields that a blank separates."""
+    key = F.col("o_orderkey")
+    line = F.concat_ws(" ", key.cast("string"), F.lower("o_orderstatus"), (key % 6).cast("string"))
+    path = shared_folder(spark, "csv")
+    rows = table(spark, sf_dir, "orders").select(F.when(key % 10 == 7, F.concat(line, F.lit(" more"))).otherwise(line).alias("id status rating"))
+    rows.write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\u0001").csv(path)
+    return csv.read_tolerant(spark, path).withColumn("rating", F.col("rating").cast("double"))
+
+
+BROKEN = "concat(review_text, chr(10), '\"quoted, text\"', chr(10), chr(10), review_id)"
+
+
+@register("csv_split", f"WITH {REVIEWS_SQL} SELECT review_id, {BROKEN} AS review_text, sentiment::DOUBLE AS sentiment FROM (SELECT review_id, coalesce(review_text, '') AS review_text, sentiment FROM reviews)")
+def csv_split(spark, sf_dir):
+    """CSV with quoted quotes and line breaks, read by ranges."""
+    path = shared_folder(spark, "csv")
+    csv.write_csv(reviews(spark, sf_dir).withColumn("review_text", F.expr(BROKEN.replace("chr(10)", "char(10)").replace("review_text,", "coalesce(review_text, ''),", 1))), path)
+    return split_csv.read_strict_split(spark, path).select(F.col("review_id").cast("long"), "review_text", F.col("sentiment").cast("double"))
+
+
+@register("csv_sample", f"WITH {REVIEWS_SQL} SELECT review_id, review_text, sentiment::DOUBLE AS sentiment FROM reviews WHERE {SHARE_SQL} < 1000 / (SELECT count(*) FROM reviews)::DOUBLE")
+def csv_sample(spark, sf_dir):
+    """The feature itself: about 1000 rows, written as CSV."""
+    path = shared_folder(spark, "csv")
+    files.write_sample(reviews(spark, sf_dir), path, "review_id", 1000)
+    return csv.read_strict(spark, path, "review_id bigint, review_text string, sentiment double")
+
+
+@register("inventory_totals", "SELECT count(*) AS n_rows, 3 AS n_columns, '.csv' AS extension FROM orders")
+def inventory_totals(spark, sf_dir):
+    """Rows and columns that the inventory of a folder of CSV files tells of."""
+    return file_inventory(spark, sf_dir).groupBy("extension").agg(F.sum("n_rows").alias("n_rows"), F.max("n_columns").alias("n_columns"))
+
+
 @register("csv_roundtrip", f"WITH {REVIEWS_SQL} SELECT review_id, review_text, sentiment::DOUBLE AS sentiment FROM reviews")
 def csv_roundtrip(spark, sf_dir):
     path = shared_folder(spark, "csv")
@@ -598,7 +719,7 @@ def file_inventory(spark, sf_dir):
     return files.inventory(spark, path)
 
 
-@register("model_registry")
+@register("model_registry", "SELECT 'large' AS name, 'tables' AS kind, printf('{\"rows\": %d}', count(*)) AS metrics, '{\"alpha\": 1.5, \"tables\": [\"classes\", \"terms\"]}' AS info FROM documents JOIN labels USING (doc_id)")
 def model_registry(spark, sf_dir):
     rows = corpus(spark, sf_dir)
     model = naive_bayes.fit(features.hashed(rows, "id", "text", by_term=True), rows.select("id", "label"), 1.5, 1 << 18)
@@ -646,6 +767,18 @@ def feature_importance(spark, sf_dir):
     return ml.feature_importance(_trained(spark, sf_dir, ml.LOGISTIC)).withColumn("weight", r6("weight"))
 
 
+@register("forest_importance")
+def forest_importance(spark, sf_dir):
+    return ml.feature_importance(_trained(spark, sf_dir, ml.FOREST)).withColumn("weight", r6("weight"))
+
+
+@register("compare_models")
+def compare_models(spark, sf_dir):
+    """All four models trained on one frame."""
+    wide, _ = ml.compare_models(corpus(spark, sf_dir), "text", "label", "id")
+    return metrics.comparison_long(wide).withColumn("Score", r6("Score"))
+
+
 # -- streams ------------------------------------------------------------------
 def _review_stream(spark, sf_dir) -> DataFrame:
     """The derived reviews as a stream of Parquet files."""
@@ -691,6 +824,74 @@ def stream_nb_counts(spark, sf_dir):
     return jobs.model_of_deltas(spark, f"{out}/rows").terms.select("label", "term", r6("lp").alias("lp"))
 
 
+LINES_SQL = r"lines AS (SELECT conv_id, turn, unnest(range(len(l)))::INT AS line, unnest(l) AS text FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM conversations WHERE text IS NOT NULL))"
+SCORE_SQL = """rooms AS (SELECT label, ln(sum(s) + 1.5 * 262144) AS room FROM sums GROUP BY label),
+dense AS (SELECT c.label, t.term, ln(coalesce(s, 0) + 1.5) - room AS lp FROM classes c JOIN rooms USING (label) CROSS JOIN (SELECT DISTINCT term FROM sums) t LEFT JOIN sums ON sums.label = c.label AND sums.term = t.term),
+unseen AS (SELECT c.label, ln(1.5) - room AS lp FROM classes c JOIN rooms USING (label)),
+gained AS (SELECT id, u.label, sum(w * coalesce(d.lp, u.lp)) AS g FROM asked CROSS JOIN unseen u LEFT JOIN dense d ON d.term = asked.term AND d.label = u.label GROUP BY ALL),
+scored AS (SELECT ids.id, c.label, prior + coalesce(g, 0) AS score FROM ids CROSS JOIN classes c LEFT JOIN gained ON gained.id = ids.id AND gained.label = c.label),
+top AS (SELECT id, max(score) AS m FROM scored GROUP BY id)"""
+
+
+@register(
+    "score_lines",
+    f"""WITH {REVIEW_NB_SQL}, classes AS (SELECT label, ln(count(*) / (SELECT count(*) FROM rows)::DOUBLE) AS prior FROM rows GROUP BY label), {LINES_SQL},
+ids AS (SELECT concat_ws('/', conv_id, turn, line) AS id, text, conv_id, turn, line FROM lines),
+found AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{W}{{2,}}')) AS term FROM ids) GROUP BY ALL),
+asked AS (SELECT id, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id))::DOUBLE AS w FROM found), {SCORE_SQL},
+p AS (SELECT id, label, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY id) AS p, score FROM scored JOIN top USING (id))
+SELECT any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(line) AS line, arg_min(label, (-round(score, 9), label)) AS prediction, round(max(p) FILTER (WHERE label = 'negative'), 6) AS "Confidence (negative)", round(max(p) FILTER (WHERE label = 'neutral'), 6) AS "Confidence (neutral)", round(max(p) FILTER (WHERE label = 'positive'), 6) AS "Confidence (positive)" FROM p JOIN ids USING (id) GROUP BY id""",
+)
+def score_lines(spark, sf_dir):
+    """Every line of the conversations, scored by the model of the reviews."""
+    lines = pasted_lines(spark, sf_dir).withColumn("id", F.concat_ws("/", "conv_id", "turn", "line"))
+    model = _review_model(spark, sf_dir)
+    found = naive_bayes.predict(model, lines, features.hashed(lines, "id", "text", by_term=True))
+    wide = naive_bayes.confidence_columns(found, ["negative", "neutral", "positive"], "Confidence (")
+    shown = [r6(F.col(f"`Confidence ({c}`")).alias(f"Confidence ({c})") for c in ("negative", "neutral", "positive")]
+    return lines.select("id", "conv_id", "turn", "line").join(wide, "id").select("conv_id", "turn", "line", "prediction", *shown)
+
+
+@register(
+    "stream_evaluation",
+    f"""WITH {REVIEWS_SQL}, whole AS (SELECT review_id AS id, {LABEL_SQL} AS label, {_key(42, 'review_id')} AS key, {SHARE_SQL} < 0.2 AS is_test, regexp_extract_all(lower(coalesce(review_text, '')), '{W}{{2,}}') AS ts FROM reviews),
+rows AS (SELECT * FROM whole WHERE NOT is_test), ids AS (SELECT * FROM whole WHERE is_test ORDER BY key, id LIMIT 1000),
+counts AS (SELECT id, is_test, label, term, count(*) AS tf FROM (SELECT id, is_test, label, unnest(ts) AS term FROM whole) GROUP BY ALL),
+weights AS (SELECT id, is_test, label, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id))::DOUBLE AS w FROM counts),
+sums AS (SELECT label, term, sum(w) AS s FROM weights WHERE NOT is_test GROUP BY ALL), asked AS (SELECT id, term, w FROM weights WHERE id IN (SELECT id FROM ids)),
+classes AS (SELECT label, ln(count(*) / (SELECT count(*) FROM rows)::DOUBLE) AS prior FROM rows GROUP BY label), {SCORE_SQL},
+predicted AS (SELECT id, arg_min(label, (-round(score, 9), label)) AS prediction FROM scored GROUP BY id),
+pairs AS (SELECT ids.label, prediction FROM ids JOIN predicted USING (id)), names AS (SELECT label FROM pairs UNION SELECT prediction FROM pairs),
+each AS (SELECT n.label, count(*) FILTER (WHERE p.label = n.label AND prediction = n.label) AS tp, count(*) FILTER (WHERE p.label = n.label) AS t, count(*) FILTER (WHERE prediction = n.label) AS p FROM names n, pairs p GROUP BY n.label),
+ratios AS (SELECT *, coalesce(tp / nullif(p, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(t, 0)::DOUBLE, 0) AS recall FROM each)
+SELECT round(sum(tp) / sum(t)::DOUBLE, 6) AS accuracy, round(sum(precision * t) / sum(t), 6) AS precision, round(sum(recall * t) / sum(t), 6) AS recall, round(sum(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) * t) / sum(t), 6) AS f1, sum(t)::BIGINT AS n, sum(tp) / sum(t)::DOUBLE >= 0.92 AS meets_target FROM ratios""",
+)
+def stream_evaluation(spark, sf_dir):
+    """A model trained on a stream's training rows, judged on the 1000 held-out rows that come first in the hash's order."""
+    out = shared_folder(spark, "evaluated")
+    jobs.train_and_hold_out(_review_stream(spark, sf_dir), "review_id", "review_text", "sentiment", out, f"{out}/checkpoint", cap=1000)
+    found = metrics.weighted_metrics(jobs.evaluate_held_out(spark, out))
+    return found.withColumns({c: r6(c) for c in ("accuracy", "precision", "recall", "f1")})
+
+
+@register(
+    "stream_progress",
+    f"WITH {REVIEWS_SQL} SELECT count(*) AS n_rows, count(*) FILTER (WHERE review_text IS NULL) AS missing, count(*) FILTER (WHERE {LABEL_SQL} = 'positive') AS positive, count(*) FILTER (WHERE {LABEL_SQL} = 'negative') AS negative, count(*) FILTER (WHERE {LABEL_SQL} = 'neutral') AS neutral FROM reviews",
+)
+def stream_progress(spark, sf_dir):
+    """What the reports of a stream's micro-batches add up to."""
+    out = shared_folder(spark, "watched")
+    listener = progress.watch(spark)
+    try:
+        stream = progress.observed(_review_stream(spark, sf_dir), "review_text", "sentiment")
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        listener.wait(query.id)
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.table(spark).agg(*[F.sum(c).alias(c) for c in ("n_rows", "missing", *progress.CLASSES)])
+
+
 @register("stream_class_counts", f"WITH {REVIEWS_SQL} SELECT {LABEL_SQL} AS label, count(*) AS n FROM reviews GROUP BY 1")
 def stream_class_counts(spark, sf_dir):
     out = shared_folder(spark, "counts")

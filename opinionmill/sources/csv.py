@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..operators.columns import unique_names
 
 # Separators that the tolerant reader tells apart, in order of preference.
-SEPARATORS = [",", "\t", ";", "|", ":"]
+SEPARATORS = [",", "\t", ";", " ", ":"]
 OVERFLOW = "_overflow"
 
 
@@ -21,8 +21,12 @@ def read_strict(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 
 def sniff(header: str) -> str:
-    """The separator that the header line has most of."""
-    return max(SEPARATORS, key=lambda s: (header.count(s), -SEPARATORS.index(s)))
+    """The separator that the header line has most of; names may hold blanks and colons, so these separate only if the others are absent."""
+    for some in (SEPARATORS[:3], SEPARATORS[3:]):
+        best = max(some, key=lambda s: (header.count(s), -some.index(s)))
+        if best in header:
+            return best
+    return SEPARATORS[0]
 
 
 def read_tolerant(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:

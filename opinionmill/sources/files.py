@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import human_size
+from ..operators.split import hash_share
+from .csv import write_csv
 
 
 def list_files(spark: SparkSession, folder: str, extension: str = "csv", min_bytes: int = 0) -> DataFrame:
@@ -61,3 +63,9 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """About n rows, each kept with the same probability."""
     total = df.count()
     return df.sample(min(1.0, n / total) if total else 1.0, seed)
+
+
+def write_sample(df: DataFrame, path: str, id_col: str, n: int = 1000, seed: int = 42) -> None:
+    """About n rows as CSV, each kept with the same probability by its id's hash, so that the same rows are taken again."""
+    total = df.count()
+    write_csv(df.where(hash_share(id_col, seed) < (n / total if total else 1.0)), path)
