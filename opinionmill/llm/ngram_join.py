@@ -41,7 +41,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,8 @@ from .textbatch import mix, shingle_hashes, slices, word_hashes
 BLOCK, FAN = 128, 8
 #: Rows of an intermediate table that make a task of their own worth while.
 PART_ROWS = 50_000
+#: Bytes of text to a bucket of posting lists, at most; they make some two million keys.
+BUCKET_TEXT = 1 << 26
 #: Keys that a task posts at once, copies it remembers, keys that a bucket sifts at once, owners that make a key crowded.
 FLUSH, SEEN, BUCKET_KEYS, CROWD = 1 << 20, 1 << 18, 1 << 23, 4096
 
@@ -503,6 +505,12 @@ def _across(left: DataFrame, rows: DataFrame, width: int, num: int, den: int) ->
     return _join_groups(inside.select("gid", "side", "fp1", "class_id", "label").unionByName(both).join(sets, "fp1").select(*columns), num, den)
 
 
+def _bucket_count(rows: DataFrame) -> int:
+    """As many buckets as the texts need, so that a task's posting lists stay bounded whatever the session's partitions are."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / BUCKET_TEXT))
+
+
 def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id_col, n_shingles, component_id.
 
@@ -516,7 +524,7 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: tuple[int, int] =
     if not isinstance(df.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must be an integer column")
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _bucket_count(rows)
     read = _kept(_meetings(_hashed(rows, width, num, den, buckets), buckets))
     texts, meetings = read.where("gid is null").select("__id", "n", "fp1", "fp2"), read.where("gid is not null").drop("__id", "n", "fp1", "fp2")
     # Documents with the same set are one class, represented by its smallest id.

@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from opinionmill.llm import embed_dedup, line_templates, quality, toxicity
+from opinionmill.llm import embed_dedup, line_templates, ngram_join, quality, toxicity
 from opinionmill.llm.common import labelled_sample
 
+from .test_operators import shingles
+
 
 def brute_lines(rows, lead=3, similar=60, least=10, long_words=50):
     """doc id to the numbers of its dropped lines; rows: (id, text), ids once."""
@@ -129,3 +131,35 @@ def test_an_id_with_several_vectors(spark):
     three = [r for r in rows if r[0] in (2, 3)]
     small = embed_dedup.near_duplicates(spark.createDataFrame(three, "vec_id long, embedding array<double>")).collect()
     assert {(r["vec_id"], r["n_links"]) for r in small} == {(2, 2), (3, 2)}
+
+
+@pytest.mark.parametrize("text", [1 << 26, 2000])
+def test_buckets_follow_the_texts(spark, monkeypatch, text):
+    """Two partitions and much text: as many buckets as the text needs, and the same links."""
+    monkeypatch.setattr(ngram_join, "BUCKET_TEXT", text)
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if r.random() > 0.01 else f"x{r.randint(0, 99)}" for w in base)) for k in range(40)] + [(100, None), (None, " ".join(base)), (None, None), (7, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        assert (ngram_join._bucket_count(df) > 4) == (text == 2000)
+        found = ngram_join.near_duplicates(df, 3, (90, 100)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sets = [(i, shingles(t, 3)) for i, t in rows if i is not None]
+    up = {i: i for i, _ in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    assert len(found) == len(rows)
+    assert all(f["component_id"] == root(f["doc_id"]) for f in found if f["doc_id"] is not None)
