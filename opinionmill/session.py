@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Folders that this process has named.
+_folders: list[str] = []
+
+
 def session(master: str | None = None, app: str = "opinionmill", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; `conf` overrides (dots written as double underscores)."""
     builder = SparkSession.builder.appName(app)
@@ -25,4 +29,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    _folders.append(f"{base}/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Removes the folders that `shared_folder` named since the last call, once nothing reads them any more; their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

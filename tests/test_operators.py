@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionmill.operators import columns, features, metrics, ml, naive_bayes, profile, split
-from opinionmill.sources import csv, registry
+from opinionmill.sources import csv, files, registry
 
 SEPARABLE = [(i, f"{['great', 'awful', 'plain'][i % 3]} shared words number {['a', 'b', 'c', 'd'][i % 4]}{i % 7}", ["positive", "negative", "neutral"][i % 3]) for i in range(300)]
 
@@ -107,3 +107,26 @@ def test_tolerant_csv(spark, tmp_path):
     rows = csv.read_tolerant(spark, str(path))
     assert rows.columns == ["Id", "Id_1", "text"]
     assert sorted(map(tuple, rows.collect())) == [(1, 2, "plain"), (5, 6, None), (7, 8, "last")] and rows.count() == 3
+
+
+def test_column_choice_and_checks(spark):
+    assert columns.default_columns(["Id", "Review_Text", "Rating"])[0] is not None
+    df = spark.createDataFrame([("a text", 1, "x")], "t string, s int, t2 string")
+    columns.check_columns(df, "t", "s")
+    for text, sentiment in (("none", "s"), ("t", "t"), ("s", "t")):
+        with pytest.raises(ValueError):
+            columns.check_columns(df, text, sentiment)
+    shown = columns.preview(df.toDF("a", "a", "b"), 5, 2)
+    assert shown.columns == ["a", "a_1"] and shown.count() == 1
+
+
+def test_bounded_reads_and_listings(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("a,b\n" + "1,2\n" * (10 * k + 1))
+    (tmp_path / "x.txt").write_text("no csv")
+    found = [r["path"].rsplit("/", 1)[1] for r in files.list_files(spark, str(tmp_path)).collect()]
+    assert found == ["0.csv", "1.csv", "2.csv"]
+    assert files.list_files(spark, str(tmp_path), min_bytes=40).count() == 2
+    assert files.largest_file(spark, str(tmp_path), over_mb=0).first()["path"].endswith("2.csv")
+    assert files.largest_file(spark, str(tmp_path)).count() == 0
+    assert files.head(spark.range(100), 7).count() == 7
