@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stoplists import vectoriser_words
+from ..session import stored
 from .words import term_counts, vocabulary
 
 
@@ -52,9 +53,13 @@ def tfidf(counts: DataFrame, model: DataFrame) -> DataFrame:
 def fit_transform_tfidf(
     df: DataFrame, id_col: str, text_col: str, max_features: int = 5000, ngram_range: tuple[int, int] = (1, 2), use_idf: bool = True, min_df: int = 5, max_df: float = 0.8, stop_words: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(weights, vocabulary) of a cleaned text column; an error if no term is left."""
-    counts = term_counts(terms(df, id_col, text_col, ngram_range, stop_words), "id", "terms")
-    model = fit_tfidf(counts, df.count(), min_df, max_df, max_features, use_idf)
+    """(weights, vocabulary) of a cleaned text column; an error if no term is left.
+
+    Counts and vocabulary are written once, so that texts are cut into terms
+    once and not for each of the jobs that read them.
+    """
+    counts = stored(term_counts(terms(df, id_col, text_col, ngram_range, stop_words), "id", "terms"), "counts")
+    model = stored(fit_tfidf(counts, df.count(), min_df, max_df, max_features, use_idf), "vocabulary")
     if model.isEmpty():
         raise ValueError("no terms remain")
     return tfidf(counts, model), model

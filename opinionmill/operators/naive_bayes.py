@@ -12,9 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Terms of a vocabulary that is broadcast, at most.
-BROADCAST_TERMS = 50_000
+from .joins import word_join
 
 
 @dataclass
@@ -71,13 +69,11 @@ def scores(model: NaiveBayes, ids: DataFrame, weights: DataFrame) -> DataFrame:
     Every class's base is added once for a row's whole weight, so only terms
     that a class has seen are joined; ids without terms score by the prior.
     """
-    # A small vocabulary is broadcast, so that frequent words aren't single tasks' keys.
-    near = F.broadcast if model.closed and model.features <= BROADCAST_TERMS else lambda df: df
     if model.closed:
-        weights = weights.join(near(model.terms.select("term").distinct()), "term", "left_semi")
+        weights = word_join(weights, model.terms.select("term").distinct(), "term", "id", "left_semi")
     whole = weights.groupBy("id").agg(F.sum("weight").alias("whole"))
     gain = model.terms.join(F.broadcast(model.classes.select("label", "base")), "label").select("label", "term", (F.col("lp") - F.col("base")).alias("gain"))
-    found = weights.join(near(gain), "term").groupBy("id", "label").agg(F.sum(F.col("weight") * F.col("gain")).alias("gained"))
+    found = word_join(weights, gain, "term", "id").groupBy("id", "label").agg(F.sum(F.col("weight") * F.col("gain")).alias("gained"))
     # A row for each id and class: there are few classes.
     grid = ids.select("id").join(whole, "id", "left").join(F.broadcast(model.classes.select("label", "prior", "base")))
     return grid.join(found, ["id", "label"], "left").select(

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.stem import stem
+from .joins import word_join
 
 
 def _replace(df: DataFrame, id_col: str, tokens_col: str, mapped: DataFrame) -> DataFrame:
     """Tokens replaced through (form, other), order kept; forms without an entry stay."""
     spread = df.select(id_col, F.posexplode(tokens_col).alias("__at", "form"))
-    found = spread.join(mapped, "form", "left").select(id_col, F.struct("__at", F.coalesce("other", "form").alias("t")).alias("__t"))
+    found = word_join(spread, mapped, "form", id_col, "left").select(id_col, F.struct("__at", F.coalesce("other", "form").alias("t")).alias("__t"))
     back = found.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list("__t")), lambda x: x["t"]).alias("__tokens"))
     return df.join(back, id_col, "left").withColumn(tokens_col, F.coalesce("__tokens", F.array().cast("array<string>"))).drop("__tokens")
 

@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions.labels import NEGATIVE, POSITIVE, normalise
 from ..functions.stoplists import cleaning_words, vectoriser_words
 from ..operators import columns, features, metrics, ml, naive_bayes, preprocess, profile, split, tuning, vocabulary, words
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import csv, files, positions, registry, split_csv
 from ..streaming import jobs, progress
 
@@ -399,20 +399,13 @@ def thinned_by_position(spark, sf_dir):
 
 
 # -- features and naive Bayes -------------------------------------------------
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder for the several jobs that read them."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _tfidf_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """id, label, is_test of the documents; TF-IDF weights of training and test documents under the training vocabulary; the vocabulary."""
     docs = corpus(spark, sf_dir)
-    marks = _stored(split.stratified_split(docs.select("id", "label"), "id", "label"), "marks")
-    counts = _stored(words.term_counts(features.terms(docs, "id", "text"), "id", "terms").join(marks.select("id", "is_test"), "id"), "counts")
+    marks = stored(split.stratified_split(docs.select("id", "label"), "id", "label"), "marks")
+    counts = stored(words.term_counts(features.terms(docs, "id", "text"), "id", "terms").join(marks.select("id", "is_test"), "id"), "counts")
     train = counts.where(~F.col("is_test"))
-    model = _stored(features.fit_tfidf(train, marks.where(~F.col("is_test")).count()), "vocabulary")
+    model = stored(features.fit_tfidf(train, marks.where(~F.col("is_test")).count()), "vocabulary")
     return marks, features.tfidf(train, model), features.tfidf(counts.where("is_test"), model), model
 
 
@@ -420,7 +413,7 @@ def _nb(spark, sf_dir) -> tuple[naive_bayes.NaiveBayes, DataFrame, DataFrame]:
     rows, train, test, _ = _tfidf_parts(spark, sf_dir)
     labels = rows.where(~F.col("is_test")).select("id", "label")
     # Sums and model are small, and several joins read them.
-    sums = _stored(naive_bayes.term_sums(train, labels), "sums")
+    sums = stored(naive_bayes.term_sums(train, labels), "sums")
     return naive_bayes.from_counts(naive_bayes.class_counts(labels), sums), rows.where("is_test"), test
 
 
@@ -593,7 +586,7 @@ def nb_grid_scores(spark, sf_dir):
     """Cross-validated F1 of all 64 settings of naive Bayes, on the rows that cross_validate tunes on."""
     docs = corpus(spark, sf_dir)
     training = split.stratified_split(docs.select("id", "label"), "id", "label").where(~F.col("is_test")).drop("is_test")
-    folded = _stored(split.folds(split.tuning_subset(training, "id", "label"), "id", "label", 3), "folds")
+    folded = stored(split.folds(split.tuning_subset(training, "id", "label"), "id", "label", 3), "folds")
     return tuning.naive_bayes_grid(docs.drop("label").join(folded, "id")).withColumn("f1", r6("f1"))
 
 
@@ -636,7 +629,7 @@ def class_report(spark, sf_dir):
 @register("model_comparison_long")
 def model_comparison_long(spark, sf_dir):
     """Naive Bayes against always predicting the test rows' most frequent class."""
-    rows = _stored(_predicted(spark, sf_dir).select("label", "prediction"), "predicted")
+    rows = stored(_predicted(spark, sf_dir).select("label", "prediction"), "predicted")
     first = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
     parts = {"Naive Bayes": metrics.weighted_metrics(rows).first(), "Majority": metrics.weighted_metrics(rows.withColumn("prediction", F.lit(first["label"]))).first()}
     wide = metrics.comparison(spark, {k: v.asDict() for k, v in parts.items()})
@@ -792,7 +785,7 @@ def _review_model(spark, sf_dir) -> naive_bayes.NaiveBayes:
     rows = label_normalize(spark, sf_dir).select(F.col("review_id").alias("id"), "label")
     model = naive_bayes.fit(features.hashed(reviews(spark, sf_dir), "review_id", "review_text", by_term=True), rows, 1.5, 1 << 18)
     # Every micro-batch reads the model.
-    return naive_bayes.NaiveBayes(_stored(model.classes, "classes"), _stored(model.terms, "terms"), model.closed, model.features)
+    return naive_bayes.NaiveBayes(stored(model.classes, "classes"), stored(model.terms, "terms"), model.closed, model.features)
 
 
 REVIEW_NB_SQL = f"""{REVIEWS_SQL}, rows AS (SELECT review_id AS id, {LABEL_SQL} AS label, regexp_extract_all(lower(coalesce(review_text, '')), '{W}{{2,}}') AS ts FROM reviews),

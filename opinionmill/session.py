@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Folders that this process has named.
@@ -33,6 +33,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return _folders[-1]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to a shared folder for the several jobs that read them."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def clear_shared(spark: SparkSession) -> int:
     """Removes the folders that `shared_folder` named since the last call, once nothing reads them any more; their number."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -130,3 +130,20 @@ def test_bounded_reads_and_listings(spark, tmp_path):
     assert files.largest_file(spark, str(tmp_path), over_mb=0).first()["path"].endswith("2.csv")
     assert files.largest_file(spark, str(tmp_path)).count() == 0
     assert files.head(spark.range(100), 7).count() == 7
+
+
+def test_word_joins_agree(spark, separable, monkeypatch):
+    """Broadcast and salted joins give the same scores and stems."""
+    from opinionmill.operators import joins, preprocess
+
+    def results():
+        weights = features.hashed(separable, "id", "text", by_term=True)
+        found = naive_bayes.predict(naive_bayes.fit(weights, separable.select("id", "label"), 1.5, 1 << 18), separable, weights)
+        closed = naive_bayes.predict(naive_bayes.fit(weights, separable.select("id", "label")), separable, weights)
+        stems = preprocess.preprocess(separable, "text", perform_stemming=True, perform_lemmatization=False, id_col="id")
+        rows = [(r["id"], r["prediction"], round(r["confidence"], 9)) for d in (found, closed) for r in d.collect()]
+        return sorted(rows), sorted((r["id"], r["processed_text"]) for r in stems.collect())
+
+    first = results()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    assert results() == first
