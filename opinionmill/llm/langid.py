@@ -17,7 +17,8 @@ id are no features.
 Defined cases: null texts and texts without a letter get `und` and score 0;
 long texts are read whole, in windows; with no training text everything is
 `und`; equal values go to the language first in alphabetical order; repeated
-rows are predicted each.
+rows are predicted each, null ids too, and no label is theirs; other columns
+are not read.
 """
 
 from __future__ import annotations

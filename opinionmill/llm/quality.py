@@ -13,11 +13,13 @@ their id class by class.  Labels, language, source and id are no features.
 Defined cases: null text is empty; an empty text scores by the intercept
 alone; long texts are read whole, a word of any length is one token; a document labelled twice counts as low
 quality if any label says so; with labels of one class only, every score is
-that class's share, 0.5 with no labels at all; repeated rows are scored each.
+that class's share, 0.5 with no labels at all; repeated rows are scored each;
+null ids are scored, and no label is theirs; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,7 +66,20 @@ class Leader:
         self.n[at] += g * g
 
 
-def _features(sample: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
+@dataclass
+class Rows:
+    """Label, first entry and number of entries of each sampled row; all rows' buckets and rates."""
+
+    spots: list[tuple[float, int, int]]
+    buckets: np.ndarray
+    rates: np.ndarray
+
+    def __iter__(self) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for label, first, n in self.spots:
+            yield label, self.buckets[first : first + n], self.rates[first : first + n]
+
+
+def _features(sample: DataFrame) -> Rows:
     """Label, buckets and rates of each sampled row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +95,17 @@ def _features(sample: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
                 [batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "at", "rate"]
             )
 
-    # The sample's partitions reach the driver one after the other; the rows are put into the order of their content.
+    # The sample's partitions reach the driver one after the other, into two buffers; the rows are put into the order of their content.
     rows = cut(sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, rate binary"))
-    found = sorted(rows.toLocalIterator(), key=lambda r: (zlib.crc32(r["at"]), r["at"], r["label"]))
-    return [(float(r["label"] > 0), np.frombuffer(r["at"], dtype="<u4"), np.frombuffer(r["rate"], dtype="<f4")) for r in found]
+    size = (rows.agg(F.sum(F.length("at"))).first()[0] or 0) // 4
+    buckets, rates, found, end = np.empty(size, dtype="<u4"), np.empty(size, dtype="<f4"), [], 0
+    for row in rows.toLocalIterator():
+        n = len(row["at"]) // 4
+        found.append((zlib.crc32(row["at"]), hashlib.sha256(row["at"]).digest(), row["label"], end, n))
+        buckets[end : end + n], rates[end : end + n] = np.frombuffer(row["at"], dtype="<u4"), np.frombuffer(row["rate"], dtype="<f4")
+        end += n
+    spots = [(float(label > 0), first, n) for _, _, label, first, n in sorted(found)]
+    return Rows(spots, buckets, rates)
 
 
 def fit(
@@ -101,8 +123,8 @@ def fit(
     once = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg((F.min("label") > 0).cast("long").alias("label"))
     rows = _features(labelled_sample(docs, once, train_rows, id_col, text_col))
     size = 1 << BITS
-    share = sum(y for y, _, _ in rows) / len(rows) if rows else 0.5
-    if share in (0.0, 1.0) or not rows:
+    share = sum(y for y, _, _ in rows.spots) / len(rows.spots) if rows.spots else 0.5
+    if share in (0.0, 1.0) or not rows.spots:
         return Model(np.zeros(size, dtype=np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     state = Leader(size + 1, alpha, 1.0, l1, l2)
     one = np.ones(1)

@@ -101,14 +101,16 @@ def _features(sample: DataFrame, scale: np.ndarray) -> tuple[Counts, np.ndarray]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds))], names=["label", "at", "n", "total"])
 
     rows = cut(sample.select("text", F.col("label").cast("long")).mapInArrow(run, "label long, at binary, n binary, total long"))
-    columns, counts, sizes, totals, labels = bytearray(), bytearray(), [], [], []
+    size = (rows.agg(F.sum(F.length("n"))).first()[0] or 0) // 2
+    columns, counts, sizes, totals, labels, end = np.empty(size, dtype=narrow), np.empty(size, dtype="<u2"), [], [], [], 0
     for row in rows.toLocalIterator():
-        columns += row["at"]
-        counts += row["n"]
-        sizes.append(len(row["n"]) // 2)
+        n = len(row["n"]) // 2
+        columns[end : end + n], counts[end : end + n] = np.frombuffer(row["at"], dtype=narrow), np.frombuffer(row["n"], dtype="<u2")
+        end += n
+        sizes.append(n)
         totals.append(row["total"])
         labels.append(row["label"] > 0)
-    matrix = Counts(np.array(sizes, dtype=np.int64), np.frombuffer(columns, dtype=narrow), np.frombuffer(counts, dtype="<u2"), 1 / np.array(totals, dtype=float), scale[scale != 0])
+    matrix = Counts(np.array(sizes, dtype=np.int64), columns, counts, 1 / np.array(totals, dtype=float), scale[scale != 0])
     return matrix, np.array(labels, dtype=float)
 
 
