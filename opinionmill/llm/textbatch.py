@@ -70,6 +70,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         stop = min(max(stop, row + 1), rows)
         yield row, stop, raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
+    # Worker processes live on after a task; what Arrow has freed is given back.
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
