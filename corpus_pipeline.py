@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), works on everything its predecessor
 kept, and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs.  All but the last return the columns of `documents`.
 Classifiers learn from the labels of the documents that reach their stage.
+
+Defined cases: null and empty texts are scored by the classifiers' intercepts,
+are copies of each other, and link with nothing as near copies; null ids are
+documents of their own and have no labels; of copies the largest id stays, of
+near copies the smallest; a row that is there twice stays once; other columns
+are carried along up to packing; empty tables give empty results.
 """
 
 from __future__ import annotations

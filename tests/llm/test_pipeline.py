@@ -28,3 +28,17 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(set(groups.values()))
     packed = corpus_pipeline.pack(spark, near, DATA)
     assert {r["doc_id"] for r in packed.collect()} == set(groups.values())
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, null and empty texts, rows that are there twice, and an empty table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id", "en", "s", 20), (7_000_001, None, None, None, None), (7_000_002, "", "en", "s", 0), (7_000_003, "twice", "en", "s", 5), (7_000_003, "twice", "en", "s", 5)], docs.schema)
+    some = docs.limit(30).unionByName(odd)
+    kept = corpus_pipeline.drop_copies(spark, some, DATA).where("doc_id > 7000000 or doc_id is null").collect()
+    # Null and empty texts are copies of each other; the largest id stays.
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("7000002", ""), ("7000003", "twice"), ("None", "a text without an id")]
+    near = corpus_pipeline.drop_near_copies(spark, odd.where("doc_id is null or doc_id < 7000003"), DATA)
+    assert near.count() == 4
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
