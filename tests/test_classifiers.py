@@ -64,9 +64,10 @@ def dense_optimum(x, y, w, penalty):
     return theta
 
 
-@pytest.mark.parametrize("classes, parts", [(2, 3), (3, 40)])
-def test_squared_hinge_optimum(spark, classes, parts):
-    """Many partitions add up in a tree; vectors are sparse and dense."""
+@pytest.mark.parametrize("classes, parts", [(2, 1), (3, 4)])
+def test_squared_hinge_optimum(spark, monkeypatch, classes, parts):
+    """Partitions beyond TREE_FROM add up in a tree; vectors are sparse and dense."""
+    monkeypatch.setattr(svm, "TREE_FROM", 3)
     r = np.random.default_rng(1)
     x = r.normal(size=(120, 6)) * (r.random((120, 6)) < 0.6)
     label = (np.abs(x[:, 0] * 2 + x[:, 1] + r.normal(size=120)) % classes).astype(int)
