@@ -1,6 +1,7 @@
 """The TF-IDF stage, squared hinge loss and tuning against plain computations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.linalg import Vectors
@@ -122,3 +123,14 @@ def test_shared_search_tries_every_setting(docs, monkeypatch):
 def test_statistics_count_documents_and_occurrences(spark):
     df = spark.createDataFrame([(["a", "a", "b"],), (["a"],), ([],), (None,)], "t array<string>")
     assert sorted(map(tuple, tfidf_stage.term_statistics(df, "t").collect())) == [("a", 2, 3), ("b", 1, 1)]
+
+
+def test_batches_larger_than_a_block_are_packed_whole():
+    n = 9000
+    values = pa.array([[float(k), 1.0] for k in range(n)])
+    x = pa.StructArray.from_arrays([pa.array([0] * n, pa.int8()), pa.array([3] * n, pa.int32()), pa.array([[0, k % 2 + 1] for k in range(n)], pa.list_(pa.int32())), values], names=["type", "size", "indices", "values"])
+    batch = pa.RecordBatch.from_arrays([x, pa.array(np.arange(n) % 2.0), pa.array(np.ones(n))], names=["x", "y", "w"])
+    blocks = [svm._Block(b.to_pylist()[0]) for b in svm._packed(iter([batch]))]
+    assert len(blocks) > 1 and np.array_equal(np.concatenate([b.y for b in blocks]), np.arange(n) % 2.0)
+    theta = np.array([[1.0], [10.0], [100.0], [0.5]])
+    assert np.allclose(np.concatenate([b.times(theta) for b in blocks])[:, 0], [k + 10.0 ** (k % 2 + 1) + 0.5 for k in range(n)])
