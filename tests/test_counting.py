@@ -58,3 +58,18 @@ def test_weights_are_read_once_for_all_sums(spark):
     want |= {(8, c): math.log({"a": 2, "b": 1}[c] / 3) for c in totals}
     found = {(r["id"], r["label"]): r["score"] for r in scored.collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_files_of_a_stream_follow_the_rows(spark, monkeypatch):
+    from opinionmill.plans import queries
+
+    monkeypatch.setattr(queries, "STREAM_ROWS", 100)
+    made, folder = [], queries.shared_folder
+    monkeypatch.setattr(queries, "shared_folder", lambda *a: made.append(folder(*a)) or made[-1])
+    stream = queries._review_stream(spark, "/root/testdata/sf0.001")
+    n = queries.reviews(spark, "/root/testdata/sf0.001").count()
+    assert len(spark.read.parquet(made[0]).inputFiles()) >= n // 100 > 8
+    query = stream.writeStream.format("noop").option("checkpointLocation", folder(spark, "stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert sum(rows) == n and len(rows) == 4
