@@ -73,3 +73,25 @@ def test_files_of_a_stream_follow_the_rows(spark, monkeypatch):
     query.awaitTermination()
     rows = [p.numInputRows for p in query.recentProgress if p.numInputRows]
     assert sum(rows) == n and len(rows) == 4
+
+
+def test_lines_are_put_together_once(spark, tmp_path):
+    from opinionmill.sources import split_csv
+
+    (tmp_path / "a.csv").write_text('id,text\n1,"two\nlines"\n2,plain\n')
+    rows = split_csv.read_strict_split(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [(1, "two\nlines"), (2, "plain")]
+    assert "MapInArrow" not in plan(rows)
+
+
+def test_features_are_made_by_all_tasks(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    from opinionmill.operators import ml
+
+    seen = []
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, rows, fit=LogisticRegression._fit: seen.append(plan(rows)) or fit(self, rows))
+    docs = spark.createDataFrame([(k, f"{'good fine' if k % 2 else 'bad poor'} word{k % 3}", "ab"[k % 2]) for k in range(60)], "i long, t string, y string").repartition(4)
+    trained = ml.train(docs, "t", "y", "i", ml.LOGISTIC, min_df=1.0)
+    assert len(seen) == 1 and "parquet" in seen[0] and "ArrowEvalPython" not in seen[0]
+    assert ml.evaluate(trained).first()["accuracy"] == 1.0
