@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.columns import unique_names
+from ..session import stored
 
 QUOTE = '"'
 _SCHEMA = "path string, start long, nth long, record string, first boolean, kind string"
@@ -120,7 +121,8 @@ def read_strict_split(spark: SparkSession, path: str, schema: T.StructType | str
     A malformed row fails the read.  Without a schema, whole numbers, doubles
     and booleans are told from the values, all others are text.
     """
-    found = records(spark, path)
+    # Written once: header, types and values are told from the records, not from the lines again.
+    found = stored(records(spark, path), "records")
     header = found.where("first").select("record").limit(1).collect()
     if not header:
         raise ValueError(f"no header in {path}")
