@@ -95,3 +95,39 @@ def test_features_are_made_by_all_tasks(spark, monkeypatch):
     trained = ml.train(docs, "t", "y", "i", ml.LOGISTIC, min_df=1.0)
     assert len(seen) == 1 and "parquet" in seen[0] and "ArrowEvalPython" not in seen[0]
     assert ml.evaluate(trained).first()["accuracy"] == 1.0
+
+
+def test_vocabulary_of_texts_is_that_of_their_counts(spark, monkeypatch):
+    import random
+
+    pick, letters = random.Random(7), "abcdefgh"
+    texts = [(k, " ".join(pick.choice(letters) * pick.choice((2, 2, 3)) for _ in range(pick.randrange(14))) if k % 9 else None) for k in range(80)]
+    df = spark.createDataFrame(texts + [(80, "rare pair " * 9), (81, "rare pair"), (82, "aa aa aa aa")], "i long, t string").repartition(3)
+    asked = []
+    monkeypatch.setattr(features, "term_totals", lambda lists, ngram_range=(1, 1), words=None: asked.append((ngram_range, words)) or counting.term_totals(lists, ngram_range, words))
+    split = features.tokens(df, "i", "t", [])
+    cases = [(2, {"min_df": 1, "max_features": 5}), (3, {"min_df": 3, "max_features": 40}), (2, {"min_df": 2, "max_df": 0.4, "max_features": 12}), (2, {"max_features": None}), (3, {"min_df": 3})]
+    for high, options in cases:
+        want = sorted(map(tuple, features.fit_tfidf(features.term_rows(df, "i", "t", (1, high), []), 83, **options).collect()))
+        for bound in (200_000, 3):
+            monkeypatch.setattr(features, "MAX_WORDS", bound)
+            assert sorted(map(tuple, features.fit_texts(split, "id", "tokens", 83, ngram_range=(1, high), repeats=False, **options).collect())) == want
+    # Pairs are counted only of the words that are frequent enough; `rare` is in two texts.
+    asked.clear()
+    monkeypatch.setattr(features, "MAX_WORDS", 200_000)
+    features.fit_texts(df, "i", "t", 83, min_df=3, max_features=4, stop_words=[])
+    assert [r for r, _ in asked] == [(1, 1), (2, 2)] and 4 <= len(asked[1][1]) < 16 and "rare" not in asked[1][1]
+
+
+def test_ids_that_repeat_have_one_count_a_vocabulary_term(spark):
+    df = spark.createDataFrame([(1, "red blue"), (1, "red blue"), (2, "red")], "i long, t string")
+    found = features.fit_texts(df, "i", "t", 2, min_df=1, max_df=1.0, stop_words=[])
+    assert sorted(tuple(r)[:3] for r in found.collect()) == [("blue", 1, 2), ("red", 2, 3), ("red blue", 1, 2)]
+
+
+def test_documents_are_cut_into_tokens_once(spark):
+    from opinionmill.plans import queries
+
+    _, train, test, model = queries._tfidf_parts(spark, "/root/testdata/sf0.001")
+    for df in (train, test, model):
+        assert "parquet" in plan(df) and "regexp_extract_all" not in plan(df)
