@@ -92,3 +92,12 @@ def test_predictions_do_not_depend_on_how_ids_are_met(spark, monkeypatch):
         monkeypatch.setattr(counting, "ids_repeat", lambda *_: repeat)
         found[repeat] = rounded(queries.nb_predict_proba(spark, DATA))
     assert found[False] == found[True] and found[True]
+
+
+def test_runs_of_rows_keep_all_tokens():
+    import pyarrow as pa
+
+    rows = pa.array([" ".join(f"w{k}x{j}" for j in range(k % 40)) for k in range(400)])
+    for at in (0, 7, 150):
+        names, codes, row = counting._coded(rows.slice(at, 200))
+        assert [(r, names[c].as_py()) for r, c in zip(row.tolist(), codes.tolist())] == [(k, w) for k in range(200) for w in rows[at + k].as_py().split()]
