@@ -55,8 +55,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles with a Jaccard similarity of 0.8 or more."""
     found = ngram_join.near_duplicates(docs, width=5, threshold=(80, 100))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    goes = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = cut(found.groupBy("doc_id").agg(F.bool_and(goes).alias("goes")).where("goes").select("doc_id"))
+    # As few documents go, the texts of the others stay where they are; a null id never goes.
+    return docs.join(if_small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

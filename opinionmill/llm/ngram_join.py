@@ -27,8 +27,10 @@ join components are wanted, so thousands of near copies give one spanning tree,
 not its square.
 
 Large groups are dealt out in blocks, so no task holds more than two blocks.
-Around a centre each block has the centre; in an open group, the sets outside
-its main component meet all blocks within reach of their sizes.
+Around a centre each block has the centre; in an open group, blocks of sets
+outside its main component meet each other, and those of the main component,
+within reach of their sizes, each pair of blocks once.  As sets are sent to each
+meeting of their block, these blocks are as large as a task's memory allows.
 
 Defined cases: null and empty texts and texts without a word have no shingles
 and no links; fewer words than a shingle's width make one shingle; texts are
@@ -56,6 +58,8 @@ from .textbatch import mix, shingle_hashes, slices, word_hashes
 
 #: Sets in a block, entries of a tree node.
 BLOCK, FAN = 128, 8
+#: Sets in a block of an open group and their bytes, at most; BLOCK sets are a block whatever their bytes.
+OPEN_BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Rows of an intermediate table that make a task of their own worth while.
 PART_ROWS = 50_000
 #: Bytes of text to a bucket of posting lists, at most; they make some two million keys.
@@ -475,33 +479,38 @@ def _open_groups(meetings: DataFrame, labelled: DataFrame) -> DataFrame:
     return sets.join(groups, F.col("class_id") == F.col("node")).select(F.col("component").alias("gid"), "fp1", "class_id", "n", "label")
 
 
+def _salts() -> F.Column:
+    """Blocks that a group's rows are dealt to."""
+    size = F.greatest(F.ceil(F.count("*") / OPEN_BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    return F.least(F.ceil(F.count("*") / BLOCK), size)
+
+
 def _across(left: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links between components among the sets of each open group."""
     left = _kept(left)
     sets = _elements(rows, left.select(F.col("class_id").alias("__id")).distinct(), width)
     columns = ["gid", "side", F.col("class_id").alias("__id"), "label", "elements"]
-    sized = left.join(left.groupBy("gid").agg(F.count("*").alias("m")), "gid")
-    inside = sized.where(F.col("m") <= BLOCK).withColumn("side", F.lit(0)).drop("m")
-    large = _kept(sized.where(F.col("m") > BLOCK).drop("m"))
+    sized = left.join(left.groupBy("gid").agg(_salts().alias("salts")), "gid")
+    inside = sized.where("salts = 1").withColumn("side", F.lit(0)).drop("salts")
+    large = _kept(sized.where("salts > 1").drop("salts"))
     if large.isEmpty():
         return _join_groups(inside.join(sets, "fp1").select(*columns), num, den)
-    # Sets outside a large group's main component meet all of its blocks in reach.
     step = log(den / num) if den > num else log(2)
-    large = large.withColumn("range", F.floor(F.log("n") / step))
-    counts = large.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    blocked = _kept(large.join(counts, ["gid", "range"]).withColumn("salt", F.pmod(F.xxhash64("fp1", "gid"), "salts")).drop("salts"))
-    main = blocked.groupBy("gid", "label").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    outside = blocked.join(main, "gid").where("label != main").drop("main", "salt")
-    counts = outside.groupBy("gid", "range").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    outside = _kept(outside.join(counts, ["gid", "range"]).withColumn("part", F.pmod(F.xxhash64("fp1", "gid", F.lit(2)), "salts")).drop("salts"))
-    asking = outside.groupBy("gid", "range", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    asking = asking.withColumn("to_range", F.explode(F.array(*[F.col("range") + k for k in (-1, 0, 1)])))
-    blocks = blocked.groupBy("gid", "range", "salt").agg(F.min("label").alias("b_low"), F.max("label").alias("b_high")).withColumnRenamed("range", "to_range")
-    pairs = asking.join(blocks, ["gid", "to_range"]).where("not (low = high and b_low = b_high and low = b_low)")
-    pairs = _kept(pairs.select("gid", "range", "part", "to_range", "salt", F.xxhash64("gid", "range", "part", "to_range", "salt").alias("pair")))
-    asked = outside.join(pairs, ["gid", "range", "part"]).withColumn("side", F.lit(0))
-    told = blocked.withColumnRenamed("range", "to_range").join(pairs, ["gid", "to_range", "salt"]).withColumn("side", F.lit(1))
-    both = asked.select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label").unionByName(told.select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label"))
+    main = large.groupBy("gid", "label").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    large = large.join(main, "gid").withColumn("outside", F.col("label") != F.col("main")).withColumn("range", F.floor(F.log("n") / step))
+    counts = large.groupBy("gid", "outside", "range").agg(_salts().alias("salts"))
+    block = F.struct("outside", "range", F.pmod(F.xxhash64("fp1", "gid"), "salts").alias("salt"))
+    blocked = _kept(large.join(counts, ["gid", "outside", "range"]).select("gid", block.alias("block"), "fp1", "class_id", "label"))
+    # Blocks outside the main component meet all blocks in reach, and each other once; a block alone is one side.
+    blocks = blocked.groupBy("gid", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    near = F.explode(F.array(*[F.col("block.range") + k for k in (-1, 0, 1)])).alias("range")
+    asking = blocks.where("block.outside").select("gid", F.col("block").alias("asks"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), near)
+    pairs = asking.join(blocks.withColumn("range", F.col("block.range")), ["gid", "range"]).where("not block.outside or asks <= block")
+    pairs = pairs.where("not (low = high and a_low = a_high and low = a_low)").drop("range", "low", "high", "a_low", "a_high")
+    pairs = _kept(pairs.withColumn("pair", F.xxhash64("gid", "asks", "block")))
+    asked = blocked.join(pairs.select("gid", F.col("asks").alias("block"), "pair"), ["gid", "block"]).withColumn("side", F.lit(0))
+    told = blocked.join(pairs.where("asks != block").select("gid", "block", "pair"), ["gid", "block"]).withColumn("side", F.lit(1))
+    both = asked.unionByName(told).select(F.col("pair").alias("gid"), "side", "fp1", "class_id", "label")
     return _join_groups(inside.select("gid", "side", "fp1", "class_id", "label").unionByName(both).join(sets, "fp1").select(*columns), num, den)
 
 
